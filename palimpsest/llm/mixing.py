@@ -121,7 +121,7 @@ def fitted_cells(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
         pdf = pdf[[*DIMENSIONS, "tokens"]]
         return rake(pdf, targets_of(pdf, targets, alpha), rounds)
 
-    return table.groupBy(F.lit(0)).applyInPandas(fit, schema), True
+    return table.groupBy().applyInPandas(fit, schema), True
 
 
 def draw(doc_id: Column, seed: int) -> Column:

@@ -32,11 +32,12 @@ CUTOFF = 0.5
 U = np.uint64
 _URL = re.compile(r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:www\.)?([^/?#:@]+)(?::\d*)?([^?#]*)", re.I)
 
-_BAD_HOSTS = "cheap-pills spam-farm casino-bonus free-poker lucky-slots adult-cams xxx-tube hot-singles replica-watches fake-rolex payday-loans quick-cash crypto-doubler miracle-diet lose-weight-fast viagra-shop online-pharmacy-deals torrent-crack warez-keygen phishing-login click-farm link-farm seo-backlinks spam-blast buy-followers win-prize-now sexy-chat betting-tips jackpot-city pill-store".split()
-_GOOD_HOSTS = "en.wikipedia city-library state-university open-journal daily-news weather-service museum national-archive cooking-notes garden-club school-board science-review history-society public-radio travel-guide math-lectures code-docs river-trust health-institute parliament farm-almanac birdwatch astronomy bookshop chess-club theatre recipes hiking-trails film-review local-council".split()
-_BAD_PATHS = ["/buy-now/cheap", "/casino/bonus", "/xxx/videos", "/free-pills", "/win/prize", "/login/verify-account", "/poker/play", "/en/17", "/loans/apply", "/fr/8"]
-_GOOD_PATHS = ["/article/history-of-rivers", "/wiki/Spectroscopy", "/en/481", "/docs/install.html", "/news/2021/06/council-meets", "/about", "/fr/93/", "/lectures/3", "/de/77.html", "/es/204"]
-LABELLED = [(f"https://{sub}{h}.{tld}{p}", y) for hosts, paths, y in ((_BAD_HOSTS, _BAD_PATHS, 1), (_GOOD_HOSTS, _GOOD_PATHS, 0)) for i, h in enumerate(hosts) for j, p in enumerate(paths) if (i + j) % 2 for sub, tld in ((("", "www.", "blog.", "m.")[(i + j) % 4], ("example.com", "example.org", "example.net")[(i + 2 * j) % 3]),)]
+_BAD_HOSTS = "cheap-pills spam-farm casino-bonus free-poker lucky-slots adult-cams xxx-tube hot-singles replica-watches fake-rolex payday-loans quick-cash crypto-doubler miracle-diet lose-weight-fast viagra-shop online-pharmacy-deals torrent-crack warez-keygen phishing-login click-farm link-farm seo-backlinks spam-blast buy-followers win-prize-now sexy-chat betting-tips jackpot-city pill-store casino-royal best-casino casino-slots adult-dating adult-video adult-toys free-bets-daily bet-now online-bets ads-click ad-tracker pop-ads track-pixel win-cash win-big".split()
+_GOOD_HOSTS = "en.wikipedia city-library state-university open-journal daily-news weather-service museum national-archive cooking-notes garden-club school-board science-review history-society public-radio travel-guide math-lectures code-docs river-trust health-institute parliament farm-almanac birdwatch astronomy bookshop chess-club theatre recipes hiking-trails film-review local-council northwind harbourside lindgren thatcher whitestone heatherfield onshore thornbury anderson eastering netherton ringwood thestandard weatherby restoration inland hathaway oration eventide nordea rethink leatherworks motherwell thirteen athena estuary redstone halden printworks tidings".split()
+_BAD_PATHS = ["/buy-now/cheap", "/casino/bonus", "/xxx/videos", "/free-pills", "/win/prize", "/login/verify-account"]
+_GOOD_PATHS = ["/article/history-of-rivers", "/wiki/Spectroscopy", "/docs/install.html", "/news/2021/06/council-meets", "/about", "/lectures/3"]
+_ANY_PATHS = ["/", "/en/17", "/fr/93/", "/de/77.html", "/es/204", "/en/481"]
+LABELLED = [(f"https://{sub}{h}.{tld}{p}", y) for hosts, paths, y in ((_BAD_HOSTS, _BAD_PATHS + _ANY_PATHS, 1), (_GOOD_HOSTS, _GOOD_PATHS + _ANY_PATHS, 0)) for i, h in enumerate(hosts) for j, p in enumerate(paths) if (i + j) % 2 for sub, tld in ((("", "www.", "blog.", "m.")[(i + j) % 4], ("example.com", "example.org", "example.net")[(i + 2 * j) % 3]),)]
 
 
 def features(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +67,7 @@ def logits(weights: np.ndarray, bias: float, urls: list[str | None]) -> tuple[np
     return np.bincount(row, weights=weights[at], minlength=n) / np.sqrt(size) + bias, ok if len(ok) else np.zeros(n, bool)
 
 
-def train(rows: list[tuple[str, int]], rounds: int = 400, step: float = 0.5, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[str, int]], rounds: int = 1500, step: float = 0.5, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch gradient descent; each URL's features have unit length."""
     rows = [(u, int(y)) for u, y in rows if u is not None and y is not None]
     y = np.array([r[1] for r in rows], float)
