@@ -67,14 +67,16 @@ class Neighbours:
 
     def __init__(self, ids: np.ndarray, texts: list[str], toxic: np.ndarray, prevalence: float, terms: int = TERMS, k: int = K):
         self.k = k
-        rows, hs = [], []
-        for row0, _, data, offs in tx.chunks(pa.array(texts, pa.large_string())):
+        parts = []
+        for row0, _, data, offs in tx.chunks(pa.array(texts, pa.large_string())):  # counted by chunk, to spare the driver's memory
             _, r, h = doc_terms(data, offs)
-            rows.append(r + row0)
-            hs.append(h)
-        row, term, tf = counted(np.concatenate(rows), np.concatenate(hs))
+            r, h, c = counted(r, h)
+            parts.append(((r + row0).astype(np.int32), h, c.astype(np.int32)))
+        row, term, tf = (np.concatenate(x) for x in zip(*parts))
+        del parts
         n, pos = len(ids), toxic.astype(bool)
         names, at = np.unique(term, return_inverse=True)
+        del term
         df = np.bincount(at).astype(float)
         a = np.bincount(at, weights=pos[row])  # toxic examples with the term
         b = df - a
