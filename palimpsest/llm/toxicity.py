@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from . import textops as tx
 
 PER_CLASS = 2500
-TERMS = 1024
+TERMS = 256
 STEMS = (4, 5, 6)
 K = 15
 BLOCK = 64
