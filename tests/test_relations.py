@@ -1,0 +1,145 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from palimpsest.operators.cut import last_of_group
+from palimpsest.operators.merge import ascending_only, merge
+from palimpsest.operators.pack import pack, unpack
+from palimpsest.operators.reference import best_reference, changed_pages
+from palimpsest.schema import SEGMENT
+from palimpsest.streaming import daily
+
+
+def frame(spark, rows, source=0):
+    """Segments of (key, text), in this order in their dump."""
+    at, out = 0, []
+    for key, text in rows:
+        size = len((text or "").encode())
+        out.append((source, key, 0, text, at, size))
+        at += max(size, 1)
+    return spark.createDataFrame(out, SEGMENT)
+
+
+def model_strict_merge(dumps):
+    """Readers that skip keys up to the last one written; the leftmost at the least key writes."""
+    at, last, out = [0] * len(dumps), -(2**63), []
+    while True:
+        for i, d in enumerate(dumps):
+            while at[i] < len(d) and d[at[i]][0] <= last:
+                at[i] += 1
+        heads = [d[at[i]] for i, d in enumerate(dumps) if at[i] < len(d)]
+        if not heads:
+            return out
+        last = min(h[0] for h in heads)
+        out.append(next(h for h in heads if h[0] == last))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_merge_against_models(spark, seed):
+    r = random.Random(seed)
+    dumps = [[(r.randrange(1, 30), f"d{i}p{j}") for j in range(r.randrange(0, 25))] for i in range(3)]
+    frames = [frame(spark, d, i) for i, d in enumerate(dumps)]
+    got = [(x.key, x.text) for x in merge(frames, strict=True).orderBy("key").collect()]
+    assert got == model_strict_merge(dumps)
+    want = {}
+    for d in dumps:
+        for k, t in d:
+            want.setdefault(k, t)
+    assert {(x.key, x.text) for x in merge(frames).collect()} == set(want.items())
+
+
+def test_running_maximum_over_strides(spark):
+    r = random.Random(2)
+    rows = [(r.randrange(1000), "abc") for _ in range(300)]
+    got = ascending_only(frame(spark, rows), "source", stride=50).orderBy("start").collect()
+    high, want = -1, []
+    for k, _ in rows:
+        if k > high:
+            want.append(k)
+            high = k
+    assert [x.key for x in got] == want
+
+
+def test_namespace_filter_precedes_the_choice(spark):
+    new = spark.createDataFrame([(0, 5, 1, "moved", 0, 5)], SEGMENT)
+    old = spark.createDataFrame([(1, 5, 0, "old", 0, 3)], SEGMENT)
+    assert [x.text for x in merge([new, old], ns=0).collect()] == ["old"]
+
+
+class Forward:
+    """A reader that only goes forward and forgets the text it has passed."""
+
+    def __init__(self, rows):
+        self.rows, self.at, self.key = rows, 0, -(2**63)
+
+    def to(self, key):
+        text = None
+        while self.key < key and self.at < len(self.rows):
+            self.key, text = self.rows[self.at]
+            self.at += 1
+        return text if self.key == key else None
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_references_against_models(spark, seed):
+    r = random.Random(seed)
+    keys = lambda: sorted(r.sample(range(1, 60), r.randrange(1, 40)))
+    new = [(k, f"n{k}") for k in keys()]
+    refs = [[(k, f"r{i}.{k}") for k in keys()] for i in range(2)]
+    frames = [frame(spark, d, i + 1) for i, d in enumerate(refs)]
+    clean = {x.key: x.ref_text for x in best_reference(frame(spark, new), frames).collect()}
+    assert clean == {k: next((t for d in refs for q, t in d if q == k), None) for k, _ in new}
+    readers, want = [Forward(d) for d in refs], {}
+    for k, _ in new:
+        want[k] = next((t for x in readers if (t := x.to(k))), None)
+    from palimpsest.operators import reference
+
+    for width in (4, reference.KEYS):
+        old, reference.KEYS = reference.KEYS, width
+        try:
+            strict = {x.key: x.ref_text for x in best_reference(frame(spark, new), frames, strict=True).collect()}
+        finally:
+            reference.KEYS = old
+        assert strict == want
+
+
+def test_pack_round_trip_with_nulls_repeats_and_clashes(spark):
+    old = frame(spark, [(1, "same " * 30), (2, "was " * 30), (3, ""), (7, "gone")], 1)
+    new = frame(spark, [(1, "same " * 30), (2, "was " * 29 + "is"), (3, "three"), (4, "é" * 100), (5, "")])
+    rows = {x.key: x.text for x in unpack(pack(new, [old]), [old]).collect()}
+    assert rows == {1: "same " * 30, 2: "was " * 29 + "is", 3: "three", 4: "é" * 100, 5: ""}
+    clash = new.selectExpr("*", "1 as ref_text0", "'x' as rank0")
+    assert changed_pages(clash, [old]).count() == 4
+    for length in (63, 64, 8191, 8192, 1 << 20, (1 << 20) + 1):  # the unchanged delta is built from built-in functions
+        one = frame(spark, [(9, "a" * length)], 1)
+        assert [len(x.text) for x in unpack(pack(one, [one]), [one]).collect()] == [length]
+
+
+def test_empty_relations(spark):
+    none = spark.createDataFrame([], SEGMENT)
+    some = frame(spark, [(1, "a")])
+    assert merge([none, none]).count() == 0 and merge([none, some], strict=True).count() == 1
+    assert best_reference(some, [none]).collect()[0].ref_source == -1
+    assert best_reference(some, [none], strict=True).collect()[0].ref_source == -1
+    assert unpack(pack(none, [some]), [some]).count() == 0
+
+
+def test_last_of_group(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 5, None)], "g int, n int, t string")
+    assert sorted(tuple(r) for r in last_of_group(rows, ["g"], ["n"]).collect()) == [(1, 2, "b"), (2, 5, None)]
+
+
+def test_stream_of_daily_dumps(spark, tmp_path):
+    into, out = str(tmp_path / "in"), str(tmp_path / "out")
+    go = lambda: daily.follow(spark, into, out, str(tmp_path / "state")).awaitTermination()
+    frame(spark, [(1, "mon1"), (2, "mon2")], 1).write.parquet(into)
+    go()
+    frame(spark, [(2, "tue2"), (3, "tue3")], 2).write.mode("append").parquet(into)
+    frame(spark, [(3, "wed3")], 3).write.mode("append").parquet(into)
+    go()
+    assert {(r.key, r.text) for r in daily.snapshot(spark, out).collect()} == {(1, "mon1"), (2, "tue2"), (3, "wed3")}
+    daily.upsert(frame(spark, [(2, "tue2"), (3, "wed3")], 3), 1, out)  # a repeated batch
+    assert daily.snapshot(spark, out).count() == 3
+    assert daily.snapshot(spark, str(tmp_path / "none")).count() == 0
