@@ -3,7 +3,7 @@
 Each distinct line is known by a 64-bit hash. The distinct hashes are split into shards; each shard gets
 a minimal perfect hash (levels of collision-free bit arrays with ranks) that numbers its lines, and at
 that number a 16-bit fingerprint, a saturating 8-bit count of documents and, for repeated lines alone,
-the smallest doc_id that holds the line. Documents send 20-byte probes (hash, doc_id, line number) to the
+the smallest doc_id that holds the line. Documents send probes of four numbers (hash, doc_id, place, copies) to the
 shards and never a line's text; a probe is answered from the arrays. A shard is served by `FAN` tasks,
 each for a part of the documents, so that a line that everything repeats does not fall to one task.
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
@@ -129,7 +129,10 @@ class Shard:
 
 
 def _lines(min_chars: int):
-    """(h, doc_id, line, copies): each distinct long line of each row at its first place, and each later place with copies 0."""
+    """(h, doc_id, place, copies): each distinct long line of each row at its first place, and each later place with copies 0.
+
+    A place is the number of the line below 32 bits of the text's hash, as rows of one doc_id may differ.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,22 +147,28 @@ def _lines(min_chars: int):
                     continue
                 h, row = tx.hashes(data, starts[keep], ends[keep]), row[keep]
                 line = keep - first[row]
+                text = b.column(2).take(pa.array(row + row0)).to_numpy()
                 order = np.lexsort((line, h, row))
-                h, row, line = h[order], row[order], line[order]
+                h, row, line, text = h[order], row[order], line[order], text[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
                 f = np.flatnonzero(new)
                 copies = np.zeros(len(h), np.int32)
                 copies[f] = np.diff(np.concatenate([f, [len(h)]]))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pa.array(row + row0)), pa.array(line.astype(np.int32)), pa.array(copies)], names=["h", "doc_id", "line", "copies"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pa.array(row + row0)), pa.array(text << 32 | line), pa.array(copies)], names=["h", "doc_id", "place", "copies"])
 
     return run
 
 
+def text_hash(text: Column) -> Column:
+    """32 bits, signed."""
+    return F.shiftright(F.xxhash64(text.cast("string")), 32)
+
+
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shards: int | None = None, fan: int = FAN) -> DataFrame:
-    """(doc_id, line): the numbers, from 0, of the lines to drop."""
+    """(doc_id, text_hash, line): the numbers, from 0, of the lines to drop from the row with this hash."""
     shards = shards or shuffle_partitions(docs.sparkSession)
-    base = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = base.mapInArrow(_lines(min_chars), "h long, doc_id long, line int, copies int")
+    base = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash(F.col("text")))
+    lines = base.mapInArrow(_lines(min_chars), "h long, doc_id long, place long, copies int")
     shard = F.pmod(F.col("h"), F.lit(shards)).cast("int")
     distinct = lines.groupBy("h").agg(F.sum("copies").alias("n"), F.min("doc_id").alias("first_doc"))
 
@@ -174,19 +183,20 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shards: int | No
     def answer(p: pa.Table, a: pa.Table) -> pa.Table:
         doc, h = p["doc_id"].to_numpy(), p["h"].to_numpy().view(U)
         if not len(doc):
-            return pa.table({"doc_id": pa.array([], pa.int64()), "line": pa.array([], pa.int32())})
+            return pa.table({k: pa.array([], pa.int64()) for k in ("doc_id", "place")})
         count, first = Shard(a["arrays"][0].as_py()).probe(h)
         drop = (count > 1) & ((doc != first) | (p["copies"].to_numpy() == 0))
-        return pa.table({"doc_id": doc[drop], "line": p["line"].to_numpy()[drop]})
+        return pa.table({"doc_id": doc[drop], "place": p["place"].to_numpy()[drop]})
 
-    return probes.cogroup(served).applyInArrow(answer, "doc_id long, line int")
+    drops = probes.cogroup(served).applyInArrow(answer, "doc_id long, place long")
+    return drops.select("doc_id", F.shiftright("place", 32).alias("text_hash"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("line"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, drop_emptied: bool = True, shards: int | None = None, fan: int = FAN) -> DataFrame:
     """The documents without their repeated lines (n_chars set anew, if there is such a column)."""
-    drops = repeated_lines(docs, min_chars, shards, fan).groupBy("doc_id").agg(F.collect_set("line").alias("drops"))
+    drops = repeated_lines(docs, min_chars, shards, fan).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("drops"))
     schema, names = docs.schema, docs.columns
-    joined = docs.alias("d").join(drops.alias("x"), F.col("d.doc_id") == F.col("x.doc_id"), "left").select("d.*", F.col("x.drops").alias("__drops"))
+    joined = docs.alias("d").join(drops.alias("x"), (F.col("d.doc_id") == F.col("x.doc_id")) & (text_hash(F.col("d.text")) == F.col("x.text_hash")), "left").select("d.*", F.col("x.drops").alias("__drops"))
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
