@@ -122,10 +122,11 @@ class Decoder:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], Decoder | None]:
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = docs.filter("lang is not null and doc_id is not null").select("doc_id", F.col("lang").cast("string").alias("lang"))
-    picked = known.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_language).select(F.col("doc_id").alias("id"), F.col("lang").alias("language"))
-    rows = docs.join(F.broadcast(picked), (docs["doc_id"] == F.col("id")) & (docs["lang"] == F.col("language"))).select("id", "language", F.substring(docs["text"], 1, TRAIN_CHARS).alias("text")).dropDuplicates(["id", "language"]).toArrow().to_pylist()
+    w = Window.partitionBy("language").orderBy(F.xxhash64("id"), "id")
+    base = docs.select(docs["doc_id"].alias("id"), docs["lang"].cast("string").alias("language"), F.substring(docs["text"].cast("string"), 1, TRAIN_CHARS).alias("text")).filter("id is not null and language is not null")
+    picked = base.select("id", "language").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_language).select(F.col("id").alias("i"), F.col("language").alias("l"))
+    joined = base.join(F.broadcast(picked), (F.col("id") == F.col("i")) & (F.col("language") == F.col("l")))  # per_language ids for each language
+    rows = joined.select("id", "language", "text").dropDuplicates(["id", "language"]).toArrow().to_pylist()
     rows = sorted((r for r in rows if r["text"]), key=lambda r: (r["language"], r["id"]))
     languages = sorted({r["language"] for r in rows})
     if len(languages) < 2:
