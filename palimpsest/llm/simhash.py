@@ -6,7 +6,9 @@ position. Lists of single positional bytes would each hold 1/256 of the corpus,
 of byte pairs: positions are split into two halves and every pair of positions of one half is indexed (56
 lists a document). Of any three shared positions two are in one half, so no pair of documents that
 reaches the minimum is missed. In a list the shared positional bytes of each pair are tallied, pairs
-under the minimum are dropped, and a pair is given out by the first list that both are in. Retained pairs
+under `TALLY` are dropped, and a pair is given out by the first list that both are in. `TALLY` = 2,
+which every pair of a list reaches, is under the guaranteed minimum, so that similar documents whose
+fingerprints lie further apart than `DISTANCE` are retained too, as far as a list holds both. Retained pairs
 are then verified: fingerprints at most `VERIFY_BITS` apart, and Jaccard similarity of the word sets at
 least `threshold`, exact for sets of up to `SKETCH` words and otherwise from bottom-`SKETCH` sketches.
 
@@ -35,6 +37,7 @@ from .common import cut, stored
 BYTES = 16
 DISTANCE = 13
 SHARED = BYTES - DISTANCE
+TALLY = 2
 VERIFY_BITS = 26
 SKETCH = 64
 THRESHOLD = 0.7
@@ -138,8 +141,8 @@ def tallied(shared: int, bits: int):
     return run
 
 
-def candidate_pairs(nodes: DataFrame, shared: int = SHARED, bits: int = VERIFY_BITS) -> DataFrame:
-    """(a, b), a < b: pairs of nodes with at least `shared` positional bytes in common, at most `bits` bits apart."""
+def candidate_pairs(nodes: DataFrame, shared: int = TALLY, bits: int = VERIFY_BITS) -> DataFrame:
+    """(a, b), a < b: pairs of nodes of one list with at least `shared` positional bytes in common, at most `bits` bits apart."""
     lists = nodes.select("node", "fp").mapInArrow(postings, "list int, node long, fp binary")
     return lists.repartition("list").sortWithinPartitions("list").mapInArrow(tallied(shared, bits), "a long, b long")
 

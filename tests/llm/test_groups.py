@@ -84,7 +84,7 @@ def test_count_filter_misses_no_guaranteed_pair(spark):
     n = len(fps)
     pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
     assert {p for p in pairs if far[p] <= simhash.DISTANCE} <= got
-    assert got == {p for p in pairs if same[p] >= simhash.SHARED and half[p] >= 2 and far[p] <= simhash.VERIFY_BITS}
+    assert got == {p for p in pairs if same[p] >= simhash.TALLY and half[p] >= 2 and far[p] <= simhash.VERIFY_BITS}
 
 
 def test_components_of_chains(spark):
