@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 
 import corpus_pipeline
@@ -44,10 +45,13 @@ def test_stages(spark, data):
     assert hit == {k for k, t in docs if rows["decontamination"][k].text != t} and len(rows["decontamination"]) == len(docs)
     for k, a, b in brute_contaminated(docs, items):
         assert len(words(rows["decontamination"][k].text)) <= len(words(dict(docs)[k])) - (b - a)
-    # mixing
-    sampled = {r.doc_id for r in mixing.mix(after["decontamination"]).collect()}
-    assert sampled == set(rows["mixing"]) and 0 < len(sampled) < len(docs)
-    assert np.isclose(sum(r.sample_weight for r in rows["mixing"].values()) / len(docs), mixing.RATE ** -1 * len(sampled) / len(docs), rtol=0.5)
+    # mixing: the same rows as its SQL over what came before
+    con = duckdb.connect()
+    con.register("documents", after["decontamination"].toPandas())
+    said = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, sample_prob, sample_weight FROM ({mixing.mix_sql()})").fetchall()}
+    got = {k: (r.sample_prob, r.sample_weight) for k, r in rows["mixing"].items()}
+    assert set(said) == set(got) and 0 < len(got) < len(docs)
+    assert all(np.allclose(said[k], got[k], atol=1e-6) for k in got)
 
 
 def test_run(spark, data):
