@@ -87,6 +87,24 @@ def test_count_filter_misses_no_guaranteed_pair(spark):
     assert got == {p for p in pairs if same[p] >= simhash.TALLY and half[p] >= 2 and far[p] <= simhash.VERIFY_BITS}
 
 
+def pairs_of(seed, kept, size=200, n=60):
+    """Pairs of texts of `size` distinct words each that have `kept` words in common."""
+    r = random.Random(seed)
+    texts = []
+    for _ in range(n):
+        words = r.sample(range(10**6), 2 * size - kept)
+        texts += [" ".join(f"w{k}" for k in words[:size]), " ".join(f"w{k}" for k in words[size - kept :])]
+    return texts
+
+
+def test_pairs_at_the_threshold_meet(spark, docs_of):
+    """Jaccard similarity 0.702 to 0.739: at least 9 of 10 pairs are candidates."""
+    texts = [t for kept in (165, 167, 170) for t in pairs_of(kept, kept)]
+    nodes = docs_of(texts).select("doc_id", "text").mapInArrow(simhash.fingerprints, simhash.FINGERPRINT).withColumnRenamed("doc_id", "node")
+    got = {(x.a, x.b) for x in simhash.candidate_pairs(nodes).collect()}
+    assert sum((k, k + 1) in got for k in range(0, len(texts), 2)) >= 0.9 * len(texts) / 2
+
+
 def test_components_of_chains(spark):
     r = random.Random(1)
     edges = [(k, k + 1) for k in range(1, 60)] + [(200, 100), (100, 150)] + [(300 + k, 300) for k in range(1, 30)]
