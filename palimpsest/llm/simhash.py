@@ -9,8 +9,9 @@ first two bytes that it shares. Word sets of Jaccard similarity `THRESHOLD` = 0.
 on average, with a standard deviation of 6.3, so `VERIFY_BITS` = 68 keeps all but about one in a thousand,
 and 97 in 100 share two bytes of one half.
 
-Retained pairs are verified by the Jaccard similarity of the word sets, exact for sets of up to `SKETCH`
-words and otherwise from bottom-`SKETCH` sketches.
+Retained pairs are verified on their whole word sets, which are read again for the documents of such pairs
+only. As groups are connected components, a pair need not be verified when verified pairs connect it
+already: first each document is compared with its smallest candidate, then what is left between groups.
 
 Documents with the same word set are one node of the index, however many there are, so exact copies cost
 nothing. Groups are the connected components; the smallest doc_id stands for its group.
@@ -38,25 +39,29 @@ DISTANCE = 13
 TALLY = 2
 VERIFY_BITS = 68
 THRESHOLD = 0.7
-SKETCH = 64
+MEMBER_BITS = 25
 U = np.uint64
 _SALTS = [U(0x5851F42D4C957F2D), U(0x14057B7EF767814F), U(0x2545F4914F6CDD1D), U(0x9FB21C651E98DF25)]
 
 
+def distinct_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, first place and size of each word set of a chunk of texts, and the sorted hashes of all its words."""
+    for row0, _, data, offs in tx.chunks(column):
+        _, _, first, h = tx.words(data, offs)
+        row = tx.row_of(first)
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])[: len(h)]
+        h, row = h[new], row[new]
+        if len(h):
+            start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            yield row[start] + row0, start, np.diff(np.concatenate([start, [len(h)]])), h
+
+
 def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, words, whole, sketch, fp): size and hash of the word set, its smallest hashes and its SimHash."""
+    """(doc_id, words, whole, fp): size and hash of the word set and its SimHash."""
     for b in batches:
-        for row0, _, data, offs in tx.chunks(b.column(1)):
-            _, _, first, h = tx.words(data, offs)
-            row = tx.row_of(first)
-            order = np.lexsort((h, row))
-            h, row = h[order], row[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])[: len(h)]
-            h, row = h[new], row[new]
-            if not len(h):
-                continue
-            start = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            size = np.diff(np.concatenate([start, [len(h)]]))
+        for row, start, size, h in distinct_words(b.column(1)):
             votes = np.empty((len(start), 8 * BYTES), np.int32)
             step = 1 << 15  # words at a time
             at = 0
@@ -68,16 +73,13 @@ def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = to
             fp = np.packbits(votes * 2 > size[:, None], axis=1)
             whole = np.add.reduceat(tx.mix(h), start)
-            nth = np.arange(len(h)) - np.repeat(start, size)
-            low = nth < SKETCH
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.minimum(size, SKETCH))]).astype(np.int32), pa.array(h[low].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row[start] + row0)), pa.array(size.astype(np.int32)), pa.array(whole.view(np.int64)), lists, pa.FixedSizeBinaryArray.from_buffers(pa.binary(BYTES), len(fp), [None, pa.py_buffer(np.ascontiguousarray(fp))]).cast(pa.binary())],
-                names=["doc_id", "words", "whole", "sketch", "fp"],
+                [b.column(0).take(pa.array(row)), pa.array(size.astype(np.int32)), pa.array(whole.view(np.int64)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(BYTES), len(fp), [None, pa.py_buffer(np.ascontiguousarray(fp))]).cast(pa.binary())],
+                names=["doc_id", "words", "whole", "fp"],
             )
 
 
-FINGERPRINT = "doc_id long, words int, whole long, sketch array<long>, fp binary"
+FINGERPRINT = "doc_id long, words int, whole long, fp binary"
 
 
 def _bytes_of(column: pa.Array) -> np.ndarray:
@@ -168,31 +170,59 @@ def candidate_pairs(nodes: DataFrame, shared: int = TALLY, bits: int = VERIFY_BI
     return lists.repartition("list").sortWithinPartitions("list").mapInArrow(tallied(shared, bits), "a long, b long")
 
 
-def similar_pairs(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): candidates whose word sets are similar enough; nodes has node, words, sketch and fp."""
-    side = lambda k: nodes.select(F.col("node").alias(k), F.col("words").alias(f"words_{k}"), F.col("sketch").alias(f"sketch_{k}"))
-    joined = candidate_pairs(nodes).join(side("a"), "a").join(side("b"), "b")
+def word_sets(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, set): the whole word sets of the documents with these ids, and of a few others that share a bit with one."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(1 << MEMBER_BITS))
+    held = ids.select((bit / 64).cast("int").alias("at"), F.expr("1L").alias("one"), (bit % 64).cast("int").alias("k")).groupBy("at").agg(F.expr("bit_or(shiftleft(one, k))").alias("bits")).toArrow()
+    members = np.zeros(1 << MEMBER_BITS - 6, np.int64)
+    members[held["at"].to_numpy()] = held["bits"].to_numpy()
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = np.zeros(b.num_rows, bool)
-            sa, sb = b.column(2), b.column(4)
-            oa, ob = sa.offsets.to_numpy(), sb.offsets.to_numpy()
-            h = np.concatenate([sa.flatten().to_numpy(), sb.flatten().to_numpy()]).view(U)
-            row = np.concatenate([np.repeat(np.arange(b.num_rows), np.diff(o)) for o in (oa, ob)])
+            k = b.column(2).to_numpy()
+            b = b.filter(pa.array((members[k >> 6] >> (k & 63)) & 1 == 1))
+            for row, start, size, h in distinct_words(b.column(1)):
+                lists = pa.ListArray.from_arrays(np.concatenate([start, [len(h)]]).astype(np.int32), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(np.add.reduceat(tx.mix(h), start).view(np.int64)), lists], names=["node", "whole", "set"])
+
+    with_bit = base.withColumnRenamed("doc_id", "id").select("id", "text", bit.alias("k"))
+    rows = with_bit.mapInArrow(sets, "node long, whole long, set array<long>").repartition("node")
+    return rows.groupBy("node", "whole").agg(F.first("set").alias("set")).select("node", "set")
+
+
+def verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows (a, set_a, set_b, b) whose sets are similar enough."""
+    for b in batches:
+        for at in range(0, b.num_rows, 500):
+            part = b.slice(at, 500)
+            n = part.num_rows
+            sides = [(c.flatten().to_numpy(), np.diff(c.offsets.to_numpy())) for c in (part.column(1), part.column(2))]
+            h = np.concatenate([x for x, _ in sides])
+            row = np.concatenate([np.repeat(np.arange(n), size) for _, size in sides])
             order = np.lexsort((h, row))
             h, row = h[order], row[order]
-            twin = np.concatenate([(h[1:] == h[:-1]) & (row[1:] == row[:-1]), [False]])[: len(h)]
-            second = np.concatenate([[False], twin[:-1]])[: len(h)]
-            twin, row = twin[~second], row[~second]
-            start = np.searchsorted(row, np.arange(b.num_rows))
-            nth = np.arange(len(row)) - start[row]
-            both = np.maximum(b.column(1).to_numpy(), b.column(3).to_numpy()) > SKETCH  # the union's smallest hashes are a fair sample
-            use = ~both[row] | (nth < SKETCH)
-            ok = np.bincount(row[use & twin], minlength=b.num_rows) >= threshold * np.maximum(np.bincount(row[use], minlength=b.num_rows), 1) - 1e-9
-            yield b.filter(pa.array(ok)).select(["a", "b"])
+            twin = row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])]
+            common = np.bincount(twin, minlength=n)
+            ok = common >= threshold * (sides[0][1] + sides[1][1] - common) - 1e-9
+            yield part.filter(pa.array(ok)).select(["a", "b"])
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): the pairs whose whole word sets are similar enough; sets has node and set."""
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "set_a", "set_b", "b")
+    return joined.mapInArrow(lambda batches: verify(batches, threshold), "a long, b long")
+
 
-    return joined.select("a", "words_a", "sketch_a", "words_b", "sketch_b", "b").mapInArrow(lambda it: verify(x.select(["a", "words_a", "sketch_a", "words_b", "sketch_b", "b"]) for x in it), "a long, b long")
+def connected(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, root): the components of the pairs that are similar enough, without verifying pairs that are connected already."""
+    least = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    roots = components(similar_pairs(least, sets, threshold))
+    root = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}"))
+    joined = pairs.join(least, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    apart = joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    more = similar_pairs(apart, sets, threshold)
+    return components(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,8 +247,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, keeper): every document of a group of two or more but its keeper, the group's smallest doc_id."""
     base = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = stored(base.mapInArrow(fingerprints, FINGERPRINT))
-    nodes = stored(prints.groupBy("whole", "words").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp")))
-    roots = components(similar_pairs(nodes, threshold))
+    nodes = stored(prints.groupBy("whole", "words").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")))
+    pairs = stored(candidate_pairs(nodes).filter("a <> b").distinct())
+    sets = stored(word_sets(base, pairs.select(F.explode(F.array("a", "b")).alias("id"))))
+    roots = connected(pairs, sets, threshold)
     members = prints.select("doc_id", "whole", "words").join(nodes.select("whole", "words", "node"), ["whole", "words"])
     grouped = members.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("keeper"))
     return grouped.groupBy("doc_id").agg(F.min("keeper").alias("keeper")).filter("doc_id <> keeper")

@@ -105,6 +105,15 @@ def test_pairs_at_the_threshold_meet(spark, docs_of):
     assert sum((k, k + 1) in got for k in range(0, len(texts), 2)) >= 0.9 * len(texts) / 2
 
 
+def test_large_word_sets_are_verified_whole(docs_of):
+    """Sets of 200 words: the pairs found are those of exact similarity 0.7 and more, just under it none."""
+    texts = [t for kept in (158, 161, 164, 166) for t in pairs_of(kept, kept)]
+    sets = word_sets(texts)
+    want = {k + 1 for k in range(0, len(texts), 2) if len(sets[k] & sets[k + 1]) >= simhash.THRESHOLD * len(sets[k] | sets[k + 1])}
+    got = {r.doc_id for r in simhash.near_duplicates(docs_of(texts)).collect()}
+    assert len(want) == 60 and got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_components_of_chains(spark):
     r = random.Random(1)
     edges = [(k, k + 1) for k in range(1, 60)] + [(200, 100), (100, 150)] + [(300 + k, 300) for k in range(1, 30)]
