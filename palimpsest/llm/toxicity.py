@@ -2,8 +2,10 @@
 
 Examples are a bounded sample of the labelled documents: `PER_CLASS` toxic and as many clean ones, those
 with the smallest hash of doc_id. Terms are words and word stems (their first 4, 5 and 6 bytes); the
-`TERMS` terms that tell the classes of the sample apart best (chi-square) make the space, weighted
-(1 + ln tf) * idf with unit length. The index holds, for each block of 64 examples and each term, a
+terms that tell the classes of the sample apart best (chi-square) make the space; how many, of
+`TERM_CHOICES`, is the number with the least log loss when each half of the examples is scored by the
+other. Cosines are over the selected terms only, weighted (1 + ln tf) * idf with unit length, with the idf
+counted over all documents. The index holds, for each block of 64 examples and each term, a
 posting list and its largest weight. A document's blocks are visited in order of their upper bound, and
 the search ends when no unvisited block can reach the k-th best cosine, so the k nearest are exact.
 Neighbours vote with weight 1 / (0.05 + 1 - cosine); votes are turned into probabilities by a logistic
@@ -21,11 +23,11 @@ through `drop_toxic`; empty tables give empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +35,7 @@ from . import textops as tx
 
 PER_CLASS = 2500
 TERMS = 256
+TERM_CHOICES = (256, 1024, 4096)
 STEMS = (4, 5, 6)
 K = 15
 BLOCK = 64
@@ -65,7 +68,8 @@ def counted(row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 class Neighbours:
     """Block-max inverted index over labelled examples, and the calibration of its votes."""
 
-    def __init__(self, ids: np.ndarray, texts: list[str], toxic: np.ndarray, prevalence: float, terms: int = TERMS, k: int = K):
+    def __init__(self, ids: np.ndarray, texts: list[str], toxic: np.ndarray, prevalence: float, terms: int = TERMS, k: int = K, count: Callable[[np.ndarray], tuple[np.ndarray, int]] | None = None):
+        """count: document frequencies of term hashes and the number of documents; by default those of the examples."""
         self.k = k
         parts = []
         for row0, _, data, offs in tx.chunks(pa.array(texts, pa.large_string())):  # counted by chunk, to spare the driver's memory
@@ -86,7 +90,8 @@ class Neighbours:
         best = np.lexsort((names, -chi))[:terms]
         best = np.sort(best[chi[best] > 0])
         self.names = names[best]
-        self.idf = np.log((1 + n) / (1 + df[best])) + 1
+        found, of = count(self.names) if count else (df[best], n)
+        self.idf = np.log((1 + of) / (1 + found)) + 1
         keep = np.isin(at, best)
         row, at, tf = row[keep], np.searchsorted(best, at[keep]), tf[keep]
         weight = self._unit(row, at, tf, n)
@@ -218,7 +223,51 @@ class Neighbours:
             yield row0, slots, cosines, self.probability(self.votes(slots, cosines))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: int = TERMS, k: int = K) -> Neighbours | None:
+def document_frequencies(docs: DataFrame, names: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many documents each of the sorted term hashes is, and the number of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(len(names) + 1, np.int64)  # the last counts the documents
+        for b in batches:
+            df[-1] += b.num_rows
+            for _, _, data, offs in tx.chunks(b.column(0)):
+                _, row, h = doc_terms(data, offs)
+                at = np.searchsorted(names, h)
+                known = np.append(names, U(0))[at] == h
+                known &= at < len(names)
+                pair = np.unique(row[known] * len(names) + at[known])
+                if len(pair):
+                    df[:-1] += np.bincount(pair % len(names), minlength=len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["term", "n"])
+
+    got = docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(names) + 1, np.int64)
+    df[got["term"].to_numpy()] = got["n"].to_numpy()
+    return df[:-1].astype(float), int(df[-1])
+
+
+def choose_terms(spark: SparkSession, ids: np.ndarray, texts: list[str], toxic: np.ndarray, prevalence: float, k: int = K) -> int:
+    """The number of terms with the least log loss at the prevalence; each half of the examples, by class, is scored by a model of the other."""
+    half = np.zeros(len(ids), int)
+    for y in (0, 1):
+        half[toxic == y] = np.arange(int((toxic == y).sum())) % 2
+    if min(toxic.sum(), (1 - toxic).sum()) < 4:
+        return TERM_CHOICES[-1]
+
+    def loss(job: tuple[int, int]) -> tuple[int, float]:
+        terms, side = job
+        own, held = np.flatnonzero(half != side), np.flatnonzero(half == side)
+        model = Neighbours(ids[own], [texts[i] for i in own], toxic[own], prevalence, terms, k)
+        p = np.concatenate([x[3] for x in model.scored(pa.array([texts[i] for i in held], pa.large_string()), ids[held])])
+        p, y = np.clip(p, 1e-6, 1 - 1e-6), toxic[held]
+        return terms, float(-prevalence * np.log(p[y == 1]).mean() - (1 - prevalence) * np.log(1 - p[y == 0]).mean())
+
+    jobs = [(t, side) for t in TERM_CHOICES for side in (0, 1)]
+    losses = spark.sparkContext.parallelize(jobs, len(jobs)).map(loss).collect()
+    return min(TERM_CHOICES, key=lambda t: sum(x for u, x in losses if u == t))
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: int | None = None, k: int = K) -> Neighbours | None:
     """The index over the bounded sample of labelled documents; None unless both classes are there."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
     shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -232,7 +281,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: i
         seen.setdefault(i, (x or "", y))
     if len({y for _, y in seen.values()}) < 2:
         return None
-    return Neighbours(np.array(list(seen), np.int64), [x for x, _ in seen.values()], np.array([y for _, y in seen.values()]), shares[1] / sum(shares.values()), terms, k)
+    ids, texts, toxic = np.array(list(seen), np.int64), [x for x, _ in seen.values()], np.array([y for _, y in seen.values()])
+    prevalence = shares[1] / sum(shares.values())
+    terms = terms or choose_terms(docs.sparkSession, ids, texts, toxic, prevalence, k)
+    return Neighbours(ids, texts, toxic, prevalence, terms, k, lambda names: document_frequencies(docs, names))
 
 
 def _own(column: pa.Array) -> np.ndarray:

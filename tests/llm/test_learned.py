@@ -72,6 +72,21 @@ def test_neighbours_are_exact(labelled):
             assert {i for _, i in sure} <= {int(model.ids[s]) for s in slots[q] if s >= 0}
 
 
+def test_terms_are_chosen_and_counted_over_all_documents(spark, docs_of):
+    """Toxic documents share one of 600 rare words with an example each: 256 terms leave most without a neighbour."""
+    r = random.Random(6)
+    texts = [" ".join([f"zq{k % 600}x"] * 3 + [f"w{r.randrange(300)}" for _ in range(20)]) if k < 2400 else prose_with(r, 20, 0) for k in range(4800)]
+    docs = docs_of(texts)
+    labels = spark.createDataFrame([(k, 1, int(k < 2400)) for k in range(4800)], LABELS)
+    model = toxicity.fit(docs, labels)
+    assert len(model.names) > toxicity.TERMS
+    names = np.sort(np.concatenate([tx.hash_words(w) for w in ("zq7x", "w5", "nowhere")]))
+    df, n = toxicity.document_frequencies(docs, names)
+    want = {int(tx.hash_words(w)[0]): sum(w in t.split() for t in texts) for w in ("zq7x", "w5", "nowhere")}
+    assert n == 4800 and dict(zip(names.tolist(), df.tolist())) == want
+    assert np.allclose(model.idf, np.log(4801 / (1 + toxicity.document_frequencies(docs, model.names)[0])) + 1)
+
+
 def test_toxicity_of_odd_rows(spark, odd, none, labelled):
     docs, labels, _ = labelled
     both = odd.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000), allowMissingColumns=True)
