@@ -24,8 +24,8 @@ def op3_mix_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
-    """Every document is scored; the rows are those that the score calls toxic, with the neighbours that voted."""
-    return toxicity.score_documents(table(spark, d, "documents"), table(spark, d, "labels"), flagged_only=True)
+    """Every document with its score and the neighbours that voted."""
+    return toxicity.score_documents(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
 def op5_line_dedup(spark: SparkSession, d: str) -> DataFrame:

@@ -101,6 +101,13 @@ def test_toxicity_of_odd_rows(spark, odd, none, labelled):
     assert toxicity.score_documents(none, lab).count() == 0 and toxicity.drop_toxic(none, lab).count() == 0
 
 
+def test_the_query_gives_every_document(spark, data):
+    from palimpsest.llm import queries
+
+    rows = queries.op4_toxicity(spark, data).collect()
+    assert len(rows) == spark.read.parquet(f"{data}/documents.parquet").count() and any(r.evidence for r in rows if not r.toxic)
+
+
 def test_clean_documents_of_the_tables_stay(spark, data):
     docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
     scored = {r.doc_id: r.toxic for r in toxicity.score_documents(docs, labels).collect()}
