@@ -222,6 +222,22 @@ class Searcher:
         return tuple(np.concatenate([o[k] for o in out]) for k in range(5))
 
 
+def united(spans: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first byte and end byte of the spans of all passes over the same texts, overlapping and touching words merged."""
+    row, first, end, a, z = (np.concatenate(x) for x in zip(*spans))
+    order = np.lexsort((first, row))
+    out: list[list[int]] = []
+    last = (-1, -1)
+    for r, w0, w1, x, y in zip(*(c[order].tolist() for c in (row, first, end, a, z))):
+        if r == last[0] and w0 <= last[1]:
+            out[-1][2] = max(out[-1][2], y)
+            last = (r, max(last[1], w1))
+        else:
+            out.append([r, x, y])
+            last = (r, w1)
+    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+
+
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, word_start, word_end): merged spans of benchmark phrases, in words of the document, the end exclusive."""
     phrases = passes(test_phrases(benchmark, n, min_words))
@@ -263,17 +279,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, min_w
 
     Every document stays, a wholly contaminated one with what is left around its spans; untouched texts keep their bytes.
     """
-    for ps in passes(test_phrases(benchmark, n, min_words)):
-        docs = docs.mapInArrow(_cutter(ps, "n_chars" in docs.columns), T.StructType(docs.schema.fields))
-    return docs
+    found = passes(test_phrases(benchmark, n, min_words))
+    return docs.mapInArrow(_cutter(found, "n_chars" in docs.columns), T.StructType(docs.schema.fields)) if found else docs
 
 
-def _cutter(phrases: list[np.ndarray], counted: bool):
+def _cutter(phrases: list[list[np.ndarray]], counted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Searcher(phrases)
+        searchers = [Searcher(ps) for ps in phrases]
         for b in batches:
             k = b.schema.get_field_index("text")
-            row, _, _, a, z = s.spans(b.column(k))
+            row, a, z = united([s.spans(b.column(k)) for s in searchers])
             if not len(row):
                 yield b
                 continue

@@ -80,6 +80,15 @@ def test_decontaminated_texts(spark, docs_of, prose):
     assert dc.contaminated_spans(dc.decontaminate(docs, benchmark_of(spark, [item])), benchmark_of(spark, [item])).count() == 0
 
 
+def test_passes_cut_the_same_texts(spark, docs_of, prose, monkeypatch):
+    items = [prose(900 + k, 30) for k in range(4)]
+    docs = docs_of([f"{prose(k, 20)} {items[k % 4]} {prose(50 + k, 20)}" for k in range(8)])
+    bench = benchmark_of(spark, items)
+    want = {r.doc_id: (r.text, r.n_chars) for r in dc.decontaminate(docs, bench).collect()}
+    monkeypatch.setattr(dc, "PHRASES_A_PASS", 20)
+    assert {r.doc_id: (r.text, r.n_chars) for r in dc.decontaminate(docs, bench).collect()} == want
+
+
 def test_decontamination_of_odd_rows(spark, odd, none, prose):
     bench = benchmark_of(spark, [prose(1, 80), None, ""])
     spans = sorted((x.doc_id is not None, x.doc_id or 0, x.word_start, x.word_end) for x in dc.contaminated_spans(odd, bench).collect())
