@@ -102,9 +102,9 @@ def test_toxicity_of_odd_rows(spark, odd, none, labelled):
 
 
 def test_the_query_gives_every_document(spark, data):
-    from palimpsest.llm import queries
+    from palimpsest import llm
 
-    rows = queries.op4_toxicity(spark, data).collect()
+    rows = llm.queries()["op4_toxicity"](spark, data).collect()
     assert len(rows) == spark.read.parquet(f"{data}/documents.parquet").count() and any(r.evidence for r in rows if not r.toxic)
 
 
