@@ -7,18 +7,23 @@ test phrases are searched backward at once through wavelet ranks, their occurren
 the samples, and overlapping or touching occurrences are merged into removal spans. Nothing is shuffled.
 
 A test phrase is any run of `n` words of a benchmark item; an item of `min_words` to n-1 words is one
-phrase as a whole, and shorter items are not searched, as they would match ordinary prose. The test
-phrases travel with the task; if they exceed `PHRASES_A_PASS`, the shards are searched in several
-passes and the spans united.
+phrase as a whole, and shorter items are not searched, as they would match ordinary prose.
+
+The benchmark travels with the tasks as word hashes, in passes of at most `PASS_WORDS` words (16 MB); how many passes there are is known from a count of its bytes before any of
+it is read. Every pass searches the original texts, and the spans of all passes are united before anything is
+cut, so results do not depend on the passes. One pass at a time is in the driver.
 
 Defined results: null or empty texts, null or empty items and empty tables give no span; a null doc_id
-is carried as null; repeated rows give their spans once for each row; extra columns are not read by
-`contaminated_spans` and pass unchanged through `decontaminate`; ties cannot arise.
+is carried as null; rows of one doc_id give the united spans of each distinct text, once; extra columns are not
+read by `contaminated_spans` and pass unchanged through `decontaminate`; ties cannot arise; very long texts
+are read whole, by shards of their own; repeated items count once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as tx
+from .common import Scratch, free_name, stored
 
 SHARD_WORDS = 400_000
-PHRASES_A_PASS = 2_000_000
+PASS_WORDS = 2_000_000
 N_WORDS = 8
 MIN_WORDS = 5
 
@@ -128,31 +134,41 @@ class FMIndex:
         return out, of
 
 
-def test_phrases(benchmark: DataFrame, n: int, min_words: int, column: str = "text") -> list[np.ndarray]:
-    """Distinct phrases as rows of word hashes, one array for each length, each within one pass."""
+def phrases_of(items: list[np.ndarray], n: int, min_words: int) -> list[np.ndarray]:
+    """Distinct phrases of items given as word hashes: rows of hashes, one array for each length."""
     by_length: dict[int, list[np.ndarray]] = {}
-    for (text,) in benchmark.select(column).dropna().distinct().toLocalIterator():
-        h = tx.hash_words(text)
+    for h in items:
         if len(h) >= n:
             by_length.setdefault(n, []).append(np.lib.stride_tricks.sliding_window_view(h, n))
         elif len(h) >= min_words:
             by_length.setdefault(len(h), []).append(h[None])
     out = []
-    for parts in by_length.values():
-        rows = np.unique(np.concatenate(parts), axis=0)
-        out += [rows[i : i + PHRASES_A_PASS] for i in range(0, len(rows), PHRASES_A_PASS)]
+    for k, parts in by_length.items():
+        rows = np.concatenate(parts)
+        out.append(rows[np.unique(tx.windows(rows.ravel(), k)[::k], return_index=True)[1]])
     return out
 
 
-def passes(phrases: list[np.ndarray]) -> list[list[np.ndarray]]:
-    out, held = [], 0
-    for p in phrases:
-        if not out or held + len(p) > PHRASES_A_PASS:
-            out.append([])
-            held = 0
-        out[-1].append(p)
-        held += len(p)
-    return out
+def passes(benchmark: DataFrame, most: int | None = None, column: str = "text") -> Iterator[list[np.ndarray]]:
+    """The distinct items of each pass as word hashes, at most about `most` words of them."""
+    most = most or PASS_WORDS
+    items = benchmark.select(F.col(column).cast("string").alias("item")).filter("item is not null")
+    # a word and what parts it from the next take two bytes at least
+    words = F.floor(F.octet_length("item") / 2) + 1
+    n = -(-int(items.agg(F.sum(words)).first()[0] or 0) // most)
+    for k in range(n):
+        own = items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).distinct()
+
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for _, _, data, offs in tx.chunks(b.column(0)):
+                    _, _, first, h = tx.words(data, offs)
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(first.astype(np.int32), pa.array(h.view(np.int64)))], names=["item"])
+
+        rows = own.mapInArrow(hashed, "item array<long>").toArrow()["item"]
+        held = [np.asarray(x.values.to_numpy(zero_copy_only=False)).view(np.uint64) for c in rows.chunks for x in c if len(x)]
+        if held:
+            yield held
 
 
 class Searcher:
@@ -179,7 +195,7 @@ class Searcher:
         return np.cumsum(edge[:-1]) > 0
 
     def spans(self, column: pa.Array) -> tuple[np.ndarray, ...]:
-        """Row, first word, end word, first byte, end byte of each merged span, in order."""
+        """Row, first word, end word, first byte, end byte of each merged span."""
         out: list[tuple[np.ndarray, ...]] = []
         held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
@@ -222,56 +238,88 @@ class Searcher:
         return tuple(np.concatenate([o[k] for o in out]) for k in range(5))
 
 
-def united(spans: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first byte and end byte of the spans of all passes over the same texts, overlapping and touching words merged."""
-    row, first, end, a, z = (np.concatenate(x) for x in zip(*spans))
-    order = np.lexsort((first, row))
-    out: list[list[int]] = []
-    last = (-1, -1)
-    for r, w0, w1, x, y in zip(*(c[order].tolist() for c in (row, first, end, a, z))):
-        if r == last[0] and w0 <= last[1]:
-            out[-1][2] = max(out[-1][2], y)
-            last = (r, max(last[1], w1))
-        else:
-            out.append([r, x, y])
-            last = (r, w1)
-    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+def united(spans: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Searcher.spans() of several passes over the same texts as one, overlapping and touching spans merged, in order."""
+    row, a, z, x, y = (np.concatenate(c) for c in zip(*spans))
+    order = np.lexsort((a, row))
+    row, a, z, x, y = (c[order] for c in (row, a, z, x, y))
+    if not len(row):
+        return row, a, z, x, y
+    wide = int(z.max()) + 2
+    far = np.maximum.accumulate(row * wide + z)  # the farthest end so far within the row
+    far_byte = np.maximum.accumulate(row * (int(y.max()) + 2) + y) - row * (int(y.max()) + 2)
+    new = np.concatenate([[True], row[1:] * wide + a[1:] > far[:-1]])
+    f = np.flatnonzero(new)
+    last = np.concatenate([f[1:], [len(row)]]) - 1
+    return row[f], a[f], (far - row * wide)[last], x[f], far_byte[last]
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, word_start, word_end): merged spans of benchmark phrases, in words of the document, the end exclusive."""
-    phrases = passes(test_phrases(benchmark, n, min_words))
-    schema = "doc_id long, word_start long, word_end long"
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if not phrases:
-        return base.select("doc_id", F.lit(0).cast("long").alias("word_start"), F.lit(0).cast("long").alias("word_end")).filter(F.lit(False))
+def _finder(items: list[np.ndarray], n: int, min_words: int):
+    """A function of a text column that gives the spans of one pass; the index of the phrases is made on first use."""
+    made: list[Searcher | None] = []
+
+    def spans(column: pa.Array) -> tuple[np.ndarray, ...]:
+        if not made:
+            phrases = phrases_of(items, n, min_words)
+            made.append(Searcher(phrases) if phrases else None)
+        return made[0].spans(column) if made[0] else (np.zeros(0, np.int64),) * 5
 
-    def run(ps: list[np.ndarray]):
+    return spans
+
+
+_SPANS = "doc_id long, of long, word_start long, word_end long, byte_start long, byte_end long"
+
+
+def _spans(base: DataFrame, benchmark: DataFrame, n: int, min_words: int) -> DataFrame | None:
+    """(doc_id, of, spans): the merged spans of each text of the rows (doc_id, of, text) that has any; a pass after the other over the same texts."""
+
+    def run(items: list[np.ndarray]):
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = Searcher(ps)
+            spans = _finder(items, n, min_words)
             for b in batches:
-                row, a, z, _, _ = s.spans(b.column(1))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["doc_id", "word_start", "word_end"])
+                row, *rest = united([spans(b.column(2))])
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(c, pa.int64()) for c in rest)], names=[f.split()[0] for f in _SPANS.split(", ")])
 
         return find
 
-    parts = [base.mapInArrow(run(ps), schema) for ps in phrases]
-    if len(parts) == 1:
-        return parts[0]
-    united = parts[0]
-    for p in parts[1:]:
-        united = united.unionByName(p)
+    found = passes(benchmark)
+    first = list(islice(found, 2))
+    if len(first) < 2:
+        return _united(base.mapInArrow(run(first[0]), _SPANS)) if first else None
+    with Scratch(base.sparkSession) as scratch:  # one pass at a time is in the driver
+        parts = [scratch.stored(base.mapInArrow(run(items), _SPANS)) for items in chain(first, found)]
+        return stored(_united(reduce(DataFrame.unionByName, parts)))
+
 
-    def merged(t: pa.Table) -> pa.Table:
-        a, z = t["word_start"].to_numpy(), t["word_end"].to_numpy()
-        o = np.argsort(a, kind="stable")
-        a, far = a[o], np.maximum.accumulate(z[o])
-        new = np.concatenate([[True], a[1:] > far[:-1]])
-        first = np.flatnonzero(new)
-        ends = far[np.concatenate([first[1:], [len(a)]]) - 1]
-        return pa.table({"doc_id": t["doc_id"].take(pa.array(np.zeros(len(first), np.int64))), "word_start": a[first], "word_end": ends})
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("of"), F.col("text").cast("string").alias("text"))
 
-    return united.groupBy("doc_id").applyInArrow(merged, schema)
+
+def _united(spans: DataFrame) -> DataFrame:
+    """One row (doc_id, of, spans) for each text, its spans merged."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(2)
+            row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            flat = lists.flatten()
+            row, *rest = united([(row, *(flat.field(k).to_numpy() for k in range(4)))])
+            offsets = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
+            values = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in rest], fields=list(flat.type))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, values)], names=["doc_id", "of", "spans"])
+
+    fields = ("word_start", "word_end", "byte_start", "byte_end")
+    schema = "doc_id long, of long, spans array<struct<" + ", ".join(f"{f}: bigint" for f in fields) + ">>"
+    return spans.groupBy("doc_id", "of").agg(F.collect_set(F.struct(*fields)).alias("spans")).mapInArrow(merge, schema)
+
+
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, word_start, word_end): merged spans of benchmark phrases, in words of the document, the end exclusive."""
+    spans = _spans(_rows(docs), benchmark, n, min_words)
+    if spans is None:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("word_start"), F.lit(0).cast("long").alias("word_end")).filter(F.lit(False))
+    return spans.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.word_start", "s.word_end")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, min_words: int = MIN_WORDS) -> DataFrame:
@@ -279,37 +327,63 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, min_w
 
     Every document stays, a wholly contaminated one with what is left around its spans; untouched texts keep their bytes.
     """
-    found = passes(test_phrases(benchmark, n, min_words))
-    return docs.mapInArrow(_cutter(found, "n_chars" in docs.columns), T.StructType(docs.schema.fields)) if found else docs
-
-
-def _cutter(phrases: list[list[np.ndarray]], counted: bool):
+    found = list(islice(passes(benchmark), 2))
+    schema = T.StructType(docs.schema.fields)
+    counted = "n_chars" in docs.columns
+    if not found:
+        return docs
+    if len(found) == 1:
+        return docs.mapInArrow(_cutter(found[0], n, min_words, counted), schema)
+    # several passes: the spans of all of them, once for each text, then one cut
+    cuts = _spans(_rows(docs), benchmark, n, min_words)
+    name = free_name(docs.columns, "cuts")
+    spans = F.transform("c.spans", lambda s: F.struct(s["byte_start"].alias("a"), s["byte_end"].alias("z"))).alias(name)
+    on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("c.doc_id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("c.of"))
+    return docs.alias("d").join(cuts.alias("c"), on, "left").select("d.*", spans).mapInArrow(_cut_joined(counted), schema)
+
+
+def _cut(b: pa.RecordBatch, by: dict[int, list[tuple[int, int]]], counted: bool) -> pa.RecordBatch:
+    """The batch with the byte spans of its rows cut out of the texts."""
+    k = b.schema.get_field_index("text")
+    texts = b.column(k).to_pylist()
+    for r, cuts in by.items():
+        raw, at, keep = texts[r].encode(), 0, []
+        for x, y in cuts:
+            keep.append(raw[at:x])
+            at = y
+        texts[r] = b"".join([*keep, raw[at:]]).decode()
+    columns = list(b.columns)
+    columns[k] = pa.array(texts, b.schema.field(k).type)
+    if counted:
+        c = b.schema.get_field_index("n_chars")
+        old = b.column(c).to_pylist()
+        for r in by:
+            old[r] = len(texts[r])
+        columns[c] = pa.array(old, b.schema.field(c).type)
+    return pa.RecordBatch.from_arrays(columns, schema=b.schema)
+
+
+def _cutter(items: list[np.ndarray], n: int, min_words: int, counted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searchers = [Searcher(ps) for ps in phrases]
+        spans = _finder(items, n, min_words)
         for b in batches:
-            k = b.schema.get_field_index("text")
-            row, a, z = united([s.spans(b.column(k)) for s in searchers])
-            if not len(row):
-                yield b
-                continue
-            texts = b.column(k).to_pylist()
+            row, _, _, a, z = united([spans(b.column(b.schema.get_field_index("text")))])
             by: dict[int, list[tuple[int, int]]] = {}
             for r, x, y in zip(row.tolist(), a.tolist(), z.tolist()):
                 by.setdefault(r, []).append((x, y))
-            for r, cuts in by.items():
-                raw, at, keep = texts[r].encode(), 0, []
-                for x, y in cuts:
-                    keep.append(raw[at:x])
-                    at = y
-                texts[r] = b"".join([*keep, raw[at:]]).decode()
-            columns = list(b.columns)
-            columns[k] = pa.array(texts, b.schema.field(k).type)
-            if counted:
-                c = b.schema.get_field_index("n_chars")
-                old = b.column(c).to_pylist()
-                for r in by:
-                    old[r] = len(texts[r])
-                columns[c] = pa.array(old, b.schema.field(c).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+            yield _cut(b, by, counted) if by else b
+
+    return run
+
+
+def _cut_joined(counted: bool):
+    """The same for batches whose last column has the byte spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cuts = b.column(b.num_columns - 1).to_pylist()
+            b = b.select(list(range(b.num_columns - 1)))
+            by = {r: [(s["a"], s["z"]) for s in c] for r, c in enumerate(cuts) if c}
+            yield _cut(b, by, counted) if by else b
 
     return run

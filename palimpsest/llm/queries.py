@@ -68,14 +68,23 @@ def oracle_sql() -> dict[str, str]:
     n, m = decontaminate.N_WORDS, suffixdedup.MIN_WORDS
     word = "regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10FFFF}]+')"
     raw = "regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')"
-    gram = lambda k: " || ' ' || ".join(f"w[i + {j}]" for j in range(1, k + 1))
-    return {
-        "op1_decontaminate": f"""WITH d AS (SELECT doc_id, {word} AS w FROM documents), b AS (SELECT {word} AS w FROM benchmark),
-x AS (SELECT w, unnest(range(CAST(len(w) - {n - 1} AS BIGINT))) AS i FROM b WHERE len(w) >= {n}),
-p AS (SELECT DISTINCT {gram(n)} AS g FROM x),
+    gram = lambda k: "".join(f" || ' ' || w[i + {j}]" for j in range(1, k + 1))[4:]
+    least = decontaminate.MIN_WORDS
+    short = "".join(
+        f"""
+  UNION SELECT doc_id, i, i + {k} AS e FROM (SELECT doc_id, w, unnest(range(CAST(len(w) - {k - 1} AS BIGINT))) AS i FROM d WHERE len(w) >= {k})
+  WHERE {gram(k)} IN (SELECT ' ' || array_to_string(w, ' ') FROM b WHERE len(w) = {k})"""
+        for k in range(least, n)
+    )
+    contaminated = f"""WITH d AS (SELECT doc_id, {word} AS w FROM documents), b AS (SELECT {word} AS w FROM benchmark),
+p AS (SELECT DISTINCT {gram(n)} AS g FROM (SELECT w, unnest(range(CAST(len(w) - {n - 1} AS BIGINT))) AS i FROM b WHERE len(w) >= {n})),
 y AS (SELECT doc_id, w, unnest(range(CAST(len(w) - {n - 1} AS BIGINT))) AS i FROM d WHERE len(w) >= {n}),
-hit AS (SELECT DISTINCT doc_id, i FROM y WHERE {gram(n)} IN (SELECT g FROM p))"""
-        + _SPANS.format(n=n, a="word_start", b="word_end"),
+hit AS (SELECT DISTINCT doc_id, i, i + {n} AS e FROM y WHERE {gram(n)} IN (SELECT g FROM p){short}),
+r AS (SELECT doc_id, i, e, CASE WHEN i <= max(e) OVER (PARTITION BY doc_id ORDER BY i, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM hit),
+g AS (SELECT doc_id, i, e, sum(new) OVER (PARTITION BY doc_id ORDER BY i, e ROWS UNBOUNDED PRECEDING) AS span FROM r)
+SELECT doc_id, min(i) AS word_start, max(e) AS word_end FROM g GROUP BY doc_id, span"""
+    return {
+        "op1_decontaminate": contaminated,
         "op2_suffix_dedup": f"""WITH d AS (SELECT doc_id, {raw} AS w FROM documents),
 y AS (SELECT doc_id, w, unnest(range(CAST(len(w) - {m - 1} AS BIGINT))) AS i FROM d WHERE len(w) >= {m}),
 h AS MATERIALIZED (SELECT doc_id, i, md5({gram(m)}) AS g FROM y),

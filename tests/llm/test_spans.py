@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -13,6 +14,7 @@ import pytest
 from palimpsest.llm import decontaminate as dc
 from palimpsest.llm import linededup as ld
 from palimpsest.llm import suffixdedup as sd
+from palimpsest.llm.queries import oracle_sql
 
 
 def merged(starts, n):
@@ -64,9 +66,9 @@ def test_contaminated_spans(spark, docs_of, seed, monkeypatch):
     items = [" ".join((t or "").split()[i : i + r.randrange(3, 30)]).upper() for _, t in r.sample(docs, 12) for i in (0, 5)] + [None, "", "one two"]
     want = brute_contaminated(docs, items)
     assert want
-    for shard, a_pass in ((dc.SHARD_WORDS, dc.PHRASES_A_PASS), (100, 20)):  # many shards and passes give the same
+    for shard, a_pass in ((dc.SHARD_WORDS, dc.PASS_WORDS), (100, 60)):  # many shards and passes give the same
         monkeypatch.setattr(dc, "SHARD_WORDS", shard)
-        monkeypatch.setattr(dc, "PHRASES_A_PASS", a_pass)
+        monkeypatch.setattr(dc, "PASS_WORDS", a_pass)
         got = dc.contaminated_spans(docs_of(docs), benchmark_of(spark, items)).collect()
         assert sorted(tuple(x) for x in got) == want
 
@@ -80,19 +82,40 @@ def test_decontaminated_texts(spark, docs_of, prose):
     assert dc.contaminated_spans(dc.decontaminate(docs, benchmark_of(spark, [item])), benchmark_of(spark, [item])).count() == 0
 
 
-def test_passes_cut_the_same_texts(spark, docs_of, prose, monkeypatch):
+def test_passes_cut_the_same_texts(spark, docs_of, prose, data, monkeypatch):
+    """Many passes over the same texts give what one pass gives: on made-up rows, and on the whole table."""
     items = [prose(900 + k, 30) for k in range(4)]
-    docs = docs_of([f"{prose(k, 20)} {items[k % 4]} {prose(50 + k, 20)}" for k in range(8)])
-    bench = benchmark_of(spark, items)
-    want = {r.doc_id: (r.text, r.n_chars) for r in dc.decontaminate(docs, bench).collect()}
-    monkeypatch.setattr(dc, "PHRASES_A_PASS", 20)
-    assert {r.doc_id: (r.text, r.n_chars) for r in dc.decontaminate(docs, bench).collect()} == want
+    shared = items[0].split()
+    items += [" ".join([*shared[5:20], "end"]), "only five words of it"]  # overlaps of items in different passes
+    rows = [f"{prose(k, 20)} {items[k % 6]} {prose(50 + k, 20)}" for k in range(8)] + [prose(1, 3) + " only five words of it " + items[0]]
+    made = docs_of(rows).unionByName(docs_of([(0, items[1]), (0, items[2] + " x"), (None, items[3])]))
+    real = [spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark")]
+    for docs, bench, few in ((made, benchmark_of(spark, items), 30), (*real, 1000)):
+        monkeypatch.setattr(dc, "PASS_WORDS", 2_000_000)
+        assert len(list(dc.passes(bench))) == 1
+        cut = sorted(dc.decontaminate(docs, bench).collect(), key=repr)
+        spans = sorted(dc.contaminated_spans(docs, bench).collect(), key=repr)
+        monkeypatch.setattr(dc, "PASS_WORDS", few)
+        assert len(list(dc.passes(bench))) > 2
+        assert sorted(dc.decontaminate(docs, bench).collect(), key=repr) == cut
+        assert sorted(dc.contaminated_spans(docs, bench).collect(), key=repr) == spans and spans
+
+
+def test_short_items_against_sql(spark, docs_of):
+    items = ["one two three four five", "a b c d e f g", "p q r s", "k1 k2 k3 k4 k5 k6 k7 k8 k9"]
+    texts = ["x One two, three four five a b c d e f g h", "p q r s t", "a b c d e f", "k1 k2 k3 k4 k5 k6 k7 k8 one two three four five", "b c d e f g a b c d e f g k2 k3 k4 k5 k6 k7 k8 k9 k9"]
+    con = duckdb.connect()
+    con.register("documents", docs_of(texts).toPandas())
+    con.register("benchmark", benchmark_of(spark, items).toPandas())
+    want = sorted(con.execute(oracle_sql()["op1_decontaminate"]).fetchall())
+    assert want == brute_contaminated(list(enumerate(texts)), items) and len(want) == 3
+    assert sorted(tuple(r) for r in dc.contaminated_spans(docs_of(texts), benchmark_of(spark, items)).collect()) == want
 
 
 def test_decontamination_of_odd_rows(spark, odd, none, prose):
     bench = benchmark_of(spark, [prose(1, 80), None, ""])
     spans = sorted((x.doc_id is not None, x.doc_id or 0, x.word_start, x.word_end) for x in dc.contaminated_spans(odd, bench).collect())
-    assert spans == [(False, 0, 0, 80), (True, -9, 0, 80), (True, 1, 0, 80), (True, 1, 0, 80)]
+    assert spans == [(False, 0, 0, 80), (True, -9, 0, 80), (True, 1, 0, 80)]
     out = dc.decontaminate(odd, bench)
     assert out.columns == odd.columns and out.count() == odd.count() and out.filter("doc_id = 1 and text = '' and n_chars = 0 and h = 0").count() == 2
     assert dc.decontaminate(odd, bench.limit(0)).count() == odd.count() and dc.contaminated_spans(odd, bench.limit(0)).count() == 0
