@@ -13,9 +13,15 @@ The result is exact up to 64-bit hash equality: a token is covered if and only i
 `min_words` raw tokens (split at ASCII white space, case and punctuation kept) that occurs at two or more
 places of the corpus, in one document or in several.
 
+Both sorts are made in two levels, so that a suffix that everything repeats does not fall to one task. Each
+task sorts runs of `RUN` suffixes and compares neighbours there: those with an equal neighbour are decided, and
+one representative of theirs goes on with the undecided ones to the sort of all. A suffix has so at most one
+row for each run of a task in that sort, however often it occurs.
+
 Defined results: null and empty texts and texts shorter than min_words give no span; empty tables give an
-empty result; of rows with the same doc_id each counts as a place of its own and their spans are united;
-a null doc_id is carried as null; extra columns are not read.
+empty result; of rows with the same doc_id each counts as a place of its own: rows of the same text have
+their spans given once, and those of different texts each give theirs; a null doc_id is carried as null;
+extra columns are not read; very long texts are read whole; ties cannot arise, as each text's places are sets.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ from . import textops as tx
 
 MIN_WORDS = 50
 GRAM = 8
+RUN = 1 << 19
 WINDOW = 24
 
 
@@ -68,32 +75,31 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
         raise ValueError("gram must not exceed min_words")
     prefix = min_words - window + 1
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(h: np.ndarray, at: np.ndarray, first: np.ndarray, n: int, b: pa.RecordBatch, row0: int) -> tuple[np.ndarray, ...]:
+        """Hash of the n tokens from each place on, and its text and place in it."""
+        row = np.searchsorted(first, at, "right") - 1
+        ids = b.column(0).take(pa.array(row + row0))
+        return tx.windows(h, n)[at], ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), b.column(1).take(pa.array(row + row0)).to_numpy(), at - first[row]
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for b in batches:
-            for row0, _, data, offs in tx.chunks(b.column(1)):
+            for row0, _, data, offs in tx.chunks(b.column(2)):
                 s, e, first = tx.runs(data, offs, tx.TOKEN)
                 h = tx.hashes(data, s, e)
                 _, at = first_minimisers(h, first, min_words, gram, window)
-                at = np.unique(at)
-                if len(at):
-                    row = np.searchsorted(first, at, "right") - 1
-                    yield pa.RecordBatch.from_arrays([_long(tx.windows(h, prefix)[at]), b.column(0).take(pa.array(row + row0)), pa.array((at - first[row]).astype(np.int32))], names=["suffix", "doc_id", "at"])
+                yield rows_of(h, np.unique(at), first, prefix, b, row0)
 
-    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for b in batches:
-            kept = b.column(2)
-            for row0, end, data, offs in tx.chunks(b.column(1)):
+            kept = b.column(3)
+            for row0, end, data, offs in tx.chunks(b.column(2)):
                 s, e, first = tx.runs(data, offs, tx.TOKEN)
                 h = tx.hashes(data, s, e)
                 starts, at = first_minimisers(h, first, min_words, gram, window)
-                if not len(starts):
-                    continue
                 part = kept.slice(row0, end - row0)
                 survives = np.zeros(len(h), bool)
                 survives[part.flatten().to_numpy(zero_copy_only=False) + np.repeat(first[:-1], np.diff(part.offsets.to_numpy()))] = True
-                starts = starts[survives[at]]
-                row = np.searchsorted(first, starts, "right") - 1
-                yield pa.RecordBatch.from_arrays([_long(tx.windows(h, min_words)[starts]), b.column(0).take(pa.array(row + row0)), pa.array((starts - first[row]).astype(np.int32))], names=["passage", "doc_id", "at"])
+                yield rows_of(h, starts[survives[at]], first, min_words, b, row0)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,24 +114,55 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
             last = np.concatenate([f[1:], [len(at)]]) - 1 if len(f) else f
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[f])), pa.array(at[f]), pa.array(at[last] + min_words)], names=["doc_id", "token_start", "token_end"])
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    suffixes = base.mapInArrow(anchors, "suffix long, doc_id long, at int")
-    found = _with_equal_neighbour(suffixes, "suffix").groupBy("doc_id").agg(F.collect_set("at").alias("places"))
-    passages = (
-        base.alias("d")
-        .join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")))
-        .select("d.doc_id", "d.text", "f.places")
-        .mapInArrow(extended, "passage long, doc_id long, at int")
-    )
-    spans = _with_equal_neighbour(passages, "passage").groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
-    return spans.mapInArrow(merged, "doc_id long, token_start long, token_end long")
-
-
-def _with_equal_neighbour(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose neighbour before or after, in the order of the key, has the same key."""
-    w = Window.partitionBy(key).orderBy("doc_id", "at")
-    return (
-        rows.select(key, "doc_id", "at", F.lag(F.lit(1)).over(w).alias("before"), F.lead(F.lit(1)).over(w).alias("after"))
-        .filter(F.col("before").isNotNull() | F.col("after").isNotNull())
-        .select("doc_id", "at")
-    )
+    text = F.col("text").cast("string")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), text.alias("text"))
+    found = _with_equal_neighbour(base.mapInArrow(_sorted_runs(anchors), _PLACES), "places")
+    on = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.of") == F.col("f.of"))
+    texts = base.alias("d").join(found.alias("f"), on).select("d.doc_id", "d.of", "d.text", "f.places")
+    spans = _with_equal_neighbour(texts.mapInArrow(_sorted_runs(extended), _PLACES), "starts")
+    return spans.select("doc_id", "starts").mapInArrow(merged, "doc_id long, token_start long, token_end long")
+
+
+_PLACES = "suffix long, kind int, doc_id long, of long, at int"
+_DECIDED, _STANDS, _OPEN = 0, 1, 2
+
+
+def _sorted_runs(source):
+    """Rows of _PLACES: of each run of suffixes, the decided ones (under a hash of their own), one that stands for each group of equal ones, the open ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for part in source(batches):
+            if len(part[0]):
+                held.append(part)
+                size += len(part[0])
+            if size >= RUN:
+                yield from compared(*(np.concatenate(c) for c in zip(*held)))
+                held, size = [], 0
+        if held:
+            yield from compared(*(np.concatenate(c) for c in zip(*held)))
+
+    def compared(key: np.ndarray, doc: np.ndarray, null: np.ndarray, of: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(key)
+        key, doc, null, of, at = (c[order] for c in (key, doc, null, of, at))
+        same = key[1:] == key[:-1]
+        equal = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        stands = np.flatnonzero(equal & ~np.concatenate([[False], same]))
+        own = tx.mix(of.view(U) + tx.mix(doc.view(U) + at.astype(U)))
+        key = np.concatenate([np.where(equal, own, key), key[stands]])
+        take = np.concatenate([np.arange(len(of)), stands])
+        kind = np.concatenate([np.where(equal, _DECIDED, _OPEN), np.full(len(stands), _STANDS)]).astype(np.int32)
+        for lo in range(0, len(key), 1 << 16):
+            k = take[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([_long(key[lo : lo + (1 << 16)]), pa.array(kind[lo : lo + (1 << 16)]), pa.array(doc[k], mask=null[k]), pa.array(of[k]), pa.array(at[k].astype(np.int32))], names=["suffix", "kind", "doc_id", "of", "at"])
+
+    return run
+
+
+def _with_equal_neighbour(rows: DataFrame, name: str) -> DataFrame:
+    """(doc_id, of, name): the places of each text whose suffix has an equal neighbour, decided or in the sort of all."""
+    w = Window.partitionBy("suffix", F.col("kind") == _DECIDED).orderBy("kind", "doc_id", "of", "at")
+    sought = rows.select("*", F.lag(F.lit(1)).over(w).alias("before"), F.lead(F.lit(1)).over(w).alias("after"))
+    kept = sought.filter((F.col("kind") == _DECIDED) | (F.col("kind") == _OPEN) & (F.col("before").isNotNull() | F.col("after").isNotNull()))
+    return kept.groupBy("doc_id", "of").agg(F.collect_set("at").alias(name))

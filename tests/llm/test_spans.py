@@ -159,6 +159,22 @@ def test_repeated_passages(docs_of, seed, n, gram, window):
     assert sorted(tuple(x) for x in got) == brute_repeats(docs, n)
 
 
+def test_repeats_in_every_document(docs_of, prose, monkeypatch):
+    """A passage of all rows, decided in runs of a few suffixes and across them; rows of one doc_id with texts of their own."""
+    shared = prose(77, 60)
+    docs = [(k // 2 if k < 20 else k, f"{prose(k, 5 + 7 * (k % 9))} {shared} {prose(100 + k, 9)}") for k in range(60)] + [(None, shared), (None, "a " + shared), (0, "b " * 30)]
+    want = sorted({(docs[k][0] is None, docs[k][0] or 0, a, b) for k, a, b in brute_repeats([(k, t) for k, (_, t) in enumerate(docs)], 50)})
+    assert len(want) > 60
+    for run in (sd.RUN, 40, 1):
+        monkeypatch.setattr(sd, "RUN", run)
+        got = sd.repeated_passages(docs_of(docs).repartition(5)).collect()
+        assert sorted((x.doc_id is None, x.doc_id or 0, x.token_start, x.token_end) for x in got) == want
+    sources = sd._sorted_runs(lambda _: iter([(np.full(1000, 7, np.uint64), np.arange(1000), np.zeros(1000, bool), np.arange(1000), np.zeros(1000, np.int64))]))
+    monkeypatch.setattr(sd, "RUN", 1 << 19)
+    sent = pa.Table.from_batches(sources(iter([])))
+    assert Counter(sent["kind"].to_pylist()) == {sd._DECIDED: 1000, sd._STANDS: 1} and len(set(sent["suffix"].to_pylist())) == 1001
+
+
 def test_repeated_passages_of_odd_rows(odd, none):
     got = {x.doc_id: (x.token_start, x.token_end) for x in sd.repeated_passages(odd).collect()}
     assert got == {1: (0, 80), None: (0, 80), -9: (0, 80), 6: (0, 600)}
