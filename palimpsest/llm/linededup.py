@@ -1,11 +1,15 @@
 """Line deduplication by a sharded minimal perfect hash.
 
-Each distinct line is known by a 64-bit hash. The distinct hashes are split into shards; each shard gets
-a minimal perfect hash (levels of collision-free bit arrays with ranks) that numbers its lines, and at
-that number a 16-bit fingerprint, a saturating 8-bit count of documents and, for repeated lines alone,
-the smallest doc_id that holds the line. Documents send probes of four numbers (hash, doc_id, place, copies) to the
-shards and never a line's text; a probe is answered from the arrays. A shard is served by `FAN` tasks,
-each for a part of the documents, so that a line that everything repeats does not fall to one task.
+Each distinct line is known by a 64-bit hash. The distinct hashes are split into shards of about `SHARD_LINES`;
+each shard gets a minimal perfect hash (levels of collision-free bit arrays with ranks) that numbers its lines,
+and at that number a 16-bit fingerprint, a saturating 8-bit count of occurrences and, for repeated lines alone,
+the smallest doc_id that holds the line. Documents send probes of four numbers (hash, doc_id, place, copies) to
+the shards and never a line's text; a probe is answered from the arrays. A task reads a shard's arrays and then
+its probes as a stream, in batches.
+
+Lines of more than one in `HOT_LINES` of all occurrences are fewer than HOT_LINES, whatever the data: their arrays
+(some megabytes at most) go to the tasks that read the documents, which answer those probes on the spot. So a line
+that everything repeats is neither sent nor served by one task.
 
 A line is a piece of the text between line feeds, taken byte for byte. Lines of at least `min_chars`
 characters that occur more than once are repeated; the occurrence kept is the first one in the document
@@ -15,7 +19,8 @@ Defined results: a null text stays null and an empty text empty; shorter and emp
 a document whose every line went keeps an empty text, and `dedup_lines` drops it if `drop_emptied`; a row
 with a null doc_id is passed on untouched and not counted; rows with the same doc_id count as one document
 for which-is-first, and each keeps its first occurrence of a line; extra columns pass unchanged; an empty
-table gives an empty table. Counts saturate at 255 in the arrays, which decides nothing.
+table gives an empty table; very long texts are read whole; ties (a line twice in the first document) go to the
+first place. Counts saturate at 255 in the arrays, which decides nothing.
 """
 
 from __future__ import annotations
@@ -28,11 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import shuffle_partitions
+from .common import Scratch, free_name, stored
 
 MIN_CHARS = 20
-FAN = 4
+SHARD_LINES = 1 << 20
+HOT_LINES = 100_000
 U = np.uint64
+_ARRAYS, _PROBE, _ANSWERED = 0, 1, 2
 
 
 class PerfectHash:
@@ -128,13 +135,16 @@ class Shard:
         return count, first
 
 
-def _lines(min_chars: int):
+def _lines(min_chars: int, hot: tuple[np.ndarray, bytes] | None = None, shards: int = 1):
     """(h, doc_id, place, copies): each distinct long line of each row at its first place, and each later place with copies 0.
 
-    A place is the number of the line below 32 bits of the text's hash, as rows of one doc_id may differ.
+    A place is the number of the line below 32 bits of the text's hash, as rows of one doc_id may differ. With
+    the sorted hashes and the arrays of hot lines, rows are probes (shard, kind, h, doc_id, place, copies): of the hot lines only places
+    to drop, of kind `_ANSWERED`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, known = (np.append(hot[0], U(0)), Shard(hot[1])) if hot else (None, None)
         for b in batches:
             for row0, _, data, offs in tx.chunks(b.column(1)):
                 ends = np.flatnonzero(data == 10)
@@ -147,14 +157,26 @@ def _lines(min_chars: int):
                     continue
                 h, row = tx.hashes(data, starts[keep], ends[keep]), row[keep]
                 line = keep - first[row]
-                text = b.column(2).take(pa.array(row + row0)).to_numpy()
                 order = np.lexsort((line, h, row))
-                h, row, line, text = h[order], row[order], line[order], text[order]
+                h, row, line = h[order], row[order], line[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
                 f = np.flatnonzero(new)
                 copies = np.zeros(len(h), np.int32)
                 copies[f] = np.diff(np.concatenate([f, [len(h)]]))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pa.array(row + row0)), pa.array(text << 32 | line), pa.array(copies)], names=["h", "doc_id", "place", "copies"])
+                take = pa.array(row + row0)
+                doc, place = b.column(0).take(take).to_numpy(), b.column(2).take(take).to_numpy() << 32 | line
+                if known is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc), pa.array(place), pa.array(copies)], names=["h", "doc_id", "place", "copies"])
+                    continue
+                member = np.searchsorted(keys[:-1], h)
+                member = (keys[member] == h) & (member < len(keys) - 1)  # only members may ask: a fingerprint is too short for strangers
+                count, holder = np.zeros(len(h), np.int64), np.full(len(h), -1)
+                count[member], holder[member] = known.probe(h[member])
+                drop = (count > 1) & ((doc != holder) | (copies == 0))
+                kind = np.where(drop, _ANSWERED, _PROBE).astype(np.int32)
+                shard = np.where(drop, tx.mix(doc.view(U)) % U(shards), h % U(shards)).astype(np.int32)
+                k = np.flatnonzero(drop | (count == 0))
+                yield pa.RecordBatch.from_arrays([pa.array(c[k]) for c in (shard, kind, h.view(np.int64), doc, place, copies)], names=["shard", "kind", "h", "doc_id", "place", "copies"])
 
     return run
 
@@ -164,39 +186,63 @@ def text_hash(text: Column) -> Column:
     return F.shiftright(F.xxhash64(text.cast("string")), 32)
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shards: int | None = None, fan: int = FAN) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, shard_lines: int = SHARD_LINES, hot_lines: int = HOT_LINES) -> DataFrame:
     """(doc_id, text_hash, line): the numbers, from 0, of the lines to drop from the row with this hash."""
-    shards = shards or shuffle_partitions(docs.sparkSession)
+    spark = docs.sparkSession
     base = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash(F.col("text")))
-    lines = base.mapInArrow(_lines(min_chars), "h long, doc_id long, place long, copies int")
-    shard = F.pmod(F.col("h"), F.lit(shards)).cast("int")
-    distinct = lines.groupBy("h").agg(F.sum("copies").alias("n"), F.min("doc_id").alias("first_doc"))
-
-    def build(t: pa.Table) -> pa.Table:
-        h = t["h"].to_numpy().view(U)
-        return pa.table({"shard": t["shard"].slice(0, 1), "arrays": pa.array([dump_shard(h, t["n"].to_numpy(), t["first_doc"].to_numpy())], pa.binary())})
-
-    arrays = distinct.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard int, arrays binary")
-    served = arrays.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(fan - 1)))).groupBy("shard", "part")
-    probes = lines.withColumn("shard", shard).withColumn("part", F.pmod(F.col("doc_id"), F.lit(fan)).cast("int")).groupBy("shard", "part")
-
-    def answer(p: pa.Table, a: pa.Table) -> pa.Table:
-        doc, h = p["doc_id"].to_numpy(), p["h"].to_numpy().view(U)
-        if not len(doc):
-            return pa.table({k: pa.array([], pa.int64()) for k in ("doc_id", "place")})
-        count, first = Shard(a["arrays"][0].as_py()).probe(h)
-        drop = (count > 1) & ((doc != first) | (p["copies"].to_numpy() == 0))
-        return pa.table({"doc_id": doc[drop], "place": p["place"].to_numpy()[drop]})
-
-    drops = probes.cogroup(served).applyInArrow(answer, "doc_id long, place long")
+    with Scratch(spark) as scratch:
+        lines = base.mapInArrow(_lines(min_chars), "h long, doc_id long, place long, copies int")
+        distinct = scratch.stored(lines.groupBy("h").agg(F.sum("copies").alias("n"), F.min("doc_id").alias("first_doc")))
+        lines_all, lines_distinct = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines_distinct // shard_lines))
+        most = max(1, lines_all // hot_lines)  # fewer than hot_lines lines are more frequent
+        hot = distinct.filter(F.col("n") > most).toArrow()
+        keys = hot["h"].to_numpy().view(U)
+        hot_arrays = np.sort(keys), dump_shard(keys, hot["n"].to_numpy(), hot["first_doc"].to_numpy())
+
+        def build(t: pa.Table) -> pa.Table:
+            h = t["h"].to_numpy().view(U)
+            return pa.table({"shard": t["shard"].slice(0, 1), "arrays": pa.array([dump_shard(h, t["n"].to_numpy(), t["first_doc"].to_numpy())], pa.binary())})
+
+        shard = F.expr(f"cast(((h % {shards}) + if(h < 0, {2**64 % shards}, 0) + {shards}) % {shards} as int)")  # of the hash as an unsigned number
+        arrays = stored(distinct.filter(F.col("n") <= most).withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard int, arrays binary"))
+
+    probes = base.mapInArrow(_lines(min_chars, hot_arrays, shards), "shard int, kind int, h long, doc_id long, place long, copies int")
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("h", "long"), ("doc_id", "long"), ("place", "long"), ("copies", "int"))]
+    rows = probes.withColumn("arrays", F.lit(None).cast("binary")).unionByName(arrays.select("shard", F.lit(_ARRAYS).alias("kind"), *empty, "arrays"))
+    drops = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_serve, "doc_id long, place long")
     return drops.select("doc_id", F.shiftright("place", 32).alias("text_hash"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("line"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, drop_emptied: bool = True, shards: int | None = None, fan: int = FAN) -> DataFrame:
+def _serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places to drop, from each shard's arrays and then its probes."""
+    held, arrays = -1, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        shard, kind, h, doc, place, copies = (b.column(k).fill_null(0).to_numpy() for k in range(6))
+        cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])).tolist()
+        for lo, hi in zip(cuts, [*cuts[1:], len(shard)]):
+            if shard[lo] != held:
+                held, arrays = int(shard[lo]), None
+            if kind[lo] == _ARRAYS:
+                arrays = Shard(b.column(6)[lo].as_py())
+            k = kind[lo:hi]
+            drop = k == _ANSWERED
+            ask = np.flatnonzero(k == _PROBE)
+            if len(ask):
+                count, first = arrays.probe(h[lo:hi][ask].view(U))
+                drop[ask] = (count > 1) & ((doc[lo:hi][ask] != first) | (copies[lo:hi][ask] == 0))
+            if drop.any():
+                yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi][drop]), pa.array(place[lo:hi][drop])], names=["doc_id", "place"])
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, drop_emptied: bool = True, shard_lines: int = SHARD_LINES, hot_lines: int = HOT_LINES) -> DataFrame:
     """The documents without their repeated lines (n_chars set anew, if there is such a column)."""
-    drops = repeated_lines(docs, min_chars, shards, fan).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("drops"))
+    drops = repeated_lines(docs, min_chars, shard_lines, hot_lines).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("drops"))
     schema, names = docs.schema, docs.columns
-    joined = docs.alias("d").join(drops.alias("x"), (F.col("d.doc_id") == F.col("x.doc_id")) & (text_hash(F.col("d.text")) == F.col("x.text_hash")), "left").select("d.*", F.col("x.drops").alias("__drops"))
+    on = (F.col("d.doc_id") == F.col("x.doc_id")) & (text_hash(F.col("d.text")) == F.col("x.text_hash"))
+    joined = docs.alias("d").join(drops.alias("x"), on, "left").select("d.*", F.col("x.drops").alias(free_name(names, "drops")))
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate as dc
 from palimpsest.llm import linededup as ld
@@ -204,17 +205,32 @@ def brute_lines(rows, least=ld.MIN_CHARS):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("seed,shards,fan", [(0, 1, 1), (1, 7, 3), (2, None, 4)])
-def test_line_dedup(docs_of, seed, shards, fan):
+@pytest.mark.parametrize("seed,shard_lines,hot_lines", [(0, 1, 1), (1, 5, 20), (2, ld.SHARD_LINES, ld.HOT_LINES)])
+def test_line_dedup(docs_of, seed, shard_lines, hot_lines):
+    """Whatever the number of shards, and with no line, some or all repeated ones hot."""
     r = random.Random(seed)
     lines = ["", "short", "é" * 20, "x" * 19] + [f"line number {r.random()} of some length" for _ in range(30)]
     docs = [(k, "\n".join(r.choices(lines, k=r.randrange(12)))) for k in range(80)] + [(5, "short\n" + lines[7]), (5, "short\n" + lines[7]), (None, lines[7]), (200, None)]
-    got = ld.dedup_lines(docs_of(docs), drop_emptied=False, shards=shards, fan=fan).collect()
+    got = ld.dedup_lines(docs_of(docs), drop_emptied=False, shard_lines=shard_lines, hot_lines=hot_lines).collect()
     assert sorted(((x.doc_id, x.text) for x in got), key=repr) == brute_lines(docs)
     assert all(x.n_chars == len(x.text) for x in got if x.text is not None)
 
 
+def test_a_line_of_every_document(docs_of):
+    """A line that all documents hold is answered where they are read, not sent to its shard."""
+    line = "the same line stands in every document"
+    docs = docs_of([f"{line}\nown line of the document number {k}\n{line}" for k in range(300)])
+    got = {r.doc_id: r.text for r in ld.dedup_lines(docs).collect()}
+    assert got == {k: (f"{line}\n" if not k else "") + f"own line of the document number {k}" for k in range(300)}
+    base = pa.RecordBatch.from_pydict({"d": pa.array([3, 4]), "t": pa.array([line, line + "\n" + line]), "x": pa.array([0, 0])})
+    (h,) = (b.column(0).to_numpy()[:1].view(np.uint64) for b in ld._lines(20)(iter([base])))
+    hot = h, ld.dump_shard(h, np.array([9]), np.array([3]))
+    sent = [r for b in ld._lines(20, hot, 4)(iter([base])) for r in b.to_pylist()]
+    assert [(r["kind"], r["doc_id"], r["place"]) for r in sent] == [(ld._ANSWERED, 4, 0), (ld._ANSWERED, 4, 1)]
+
+
 def test_line_dedup_of_odd_rows(odd, none):
+    odd = odd.withColumn("__drops", F.lit(1)).withColumn("Drops_", F.lit(2)).withColumn("text_hash", F.lit(3))
     out = ld.dedup_lines(odd, drop_emptied=False)
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert out.columns == odd.columns
