@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -175,23 +177,54 @@ def test_mixing_reaches_its_targets(docs_of, prose):
     assert out["sample_prob"].between(0, 1).all() and 0.1 < len(out) / 3000 < 0.6
     again = mixing.mix(docs.repartition(7), want, rate=0.3).select("doc_id").toPandas()
     assert set(again.doc_id) == set(out.doc_id)
-    many = mixing.mix(docs, want, rate=0.3, rounds=1, max_cells=0).toPandas()  # the rounds as distributed aggregations
-    m = mixing.mix(docs, want, rate=0.3, rounds=1).toPandas().merge(many, on="doc_id", how="outer")
-    assert m.notna().all(axis=None) and np.allclose(m.sample_prob_x, m.sample_prob_y, atol=1e-6)
+    given = mixing.mix(docs.withColumn("subject", F.when(F.col("doc_id") % 3 == 0, "x")), {"topic": {"x": 0.8, "␀": 0.2}}, topic="subject", rate=0.2).toPandas()
+    w = given["text"].str.split().str.len() * given["sample_weight"]
+    assert abs(w[given.subject == "x"].sum() / w.sum() - 0.8) < 0.05
 
 
-def test_raking_fits_the_marginals():
-    r = np.random.default_rng(3)
-    cells = pd.DataFrame([(f"s{i}", f"l{j}", t, int(r.integers(1, 1000))) for i in range(5) for j in range(3) for t in ("prose", "short")], columns=["source", "lang", "topic", "tokens"])
-    targets = mixing.targets_of(cells, None, 0.5)
-    fitted = mixing.rake(cells, targets, 30)
+def test_raking_by_aggregations_is_raking(docs_of, prose, monkeypatch):
+    """Cells too many for one task: 8 rounds over written tables give the numbers of rake()."""
+    r = random.Random(2)
+    docs = docs_of([(k, f"{prose(k, r.randrange(5, 40))} topicword{k % 3}", r.choice(("en", "en", "fr")), r.choice("aaab"), 0) for k in range(300)])
+    words = mixing.topic_words(docs, 3)
+    assert sorted(words) == ["topicword0", "topicword1", "topicword2"]
+    for given in (None, {"source": {"a": 0.2, "b": 0.8}}):
+        one, many = (mixing.fitted_cells(docs, words, None, given, rounds=4, most=8, max_cells=n)[0].toPandas() for n in (100, 0))
+        m = one.merge(many, on=list(mixing.DIMENSIONS), how="outer")
+        assert len(m) == len(one) == 12 and np.allclose(m.fitted_x, m.fitted_y, atol=1e-12) and np.allclose(m.share_x, m.share_y)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_raking_fits_the_marginals(seed):
+    """With the production rounds every marginal is met; marginals that cannot be met end with the topic as it should be."""
+    r = np.random.default_rng(seed)
+    cells = pd.DataFrame([(f"s{i}", f"l{j}", t, int(r.integers(1, 1000))) for i in range(20) for j in range(4) for t in ("", "x", "y") if r.random() < 0.7], columns=["source", "lang", "topic", "tokens"])
+    targets = mixing.targets_of(cells, None, mixing.ALPHA)
+    fitted = mixing.rake(cells, targets)
     for d in mixing.DIMENSIONS:
-        assert np.allclose(fitted.groupby(d)["fitted"].sum(), targets[d], atol=1e-6)
+        assert np.allclose(fitted.groupby(d)["fitted"].sum(), targets[d], atol=mixing.TOLERANCE)
+    apart = pd.DataFrame([("a", "l", "x", 1), ("b", "l", "y", 1)], columns=cells.columns)
+    fitted = mixing.rake(apart, mixing.targets_of(apart, {"source": {"a": 0.9, "b": 0.1}, "topic": {"x": 0.4, "y": 0.6}}, mixing.ALPHA), most=80)
+    assert np.allclose(fitted.fitted, [0.4, 0.6])
+
+
+def test_topics_against_brute_force(docs_of, prose):
+    texts = [" ".join(f"longword{r.randrange(30)}" if r.random() < 0.2 else "ÉTÉS" for _ in range(r.randrange(40))) for r in map(random.Random, range(80))] + [None, "", "short words", prose(1, 200_000)]
+    docs = docs_of(texts)
+    said = [[w for w in re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").lower()) if len(w) >= mixing.TOPIC_CHARS] for t in texts]
+    total = Counter(w for ws in said for w in ws)
+    words = sorted(total, key=lambda w: (-total[w], w.encode()))[: mixing.TOPICS]
+    assert mixing.topic_words(docs) == words and len(words) == mixing.TOPICS
+    got = {r.doc_id: (r.topic, r.tokens) for r in mixing.with_topics(docs, words, "topic", "tokens").collect()}
+    for k, ws in enumerate(said):
+        n = Counter(w for w in ws if w in words)
+        assert got[k] == (min(n, key=lambda w: (-n[w], w.encode())) if n else "", len((texts[k] or "").split()))
 
 
 def test_mixing_of_odd_rows(odd, none):
+    odd = odd.select("*", *(F.lit(k).alias(n) for k, n in enumerate(("__p", "__w", "__source", "mix_p", "MIX_W", "mix_said", "mix_topic", "share", "fitted", "sample_PROB"))))
     out = mixing.mix(odd, rate=100.0)
-    assert out.columns == [*odd.columns, "sample_prob", "sample_weight"]
+    assert out.columns == [*odd.columns[:-1], "sample_prob", "sample_weight"]
     assert out.count() == odd.filter("trim(translate(text, '\n\t', '')) <> ''").count()
     assert mixing.mix(out, rate=100.0).columns == out.columns
     assert mixing.mix(none).count() == 0
