@@ -6,11 +6,14 @@ planes joined, and edge tiles cropped. Samples of 1, 2 and 4 bits are unpacked t
 samples come in little-endian order, rows top down, samples interleaved. Rows are decoded where they
 lie: one map, no shuffle.
 
+A page may take up to `MAX_PAGE_BYTES`, which is what one value of a binary column can hold.
+
 Defined results: a null or empty value gives no row; a file whose header or directory chain cannot be
 read gives its pages so far and then one row with `error`; a page that cannot be decoded keeps its
 header fields, has null pixels and an `error`; a chain that comes back to a directory ends there with an
-error; missing strips or short data are an error, surplus data is ignored; repeated rows give their pages
-again; extra columns are not read; an empty table gives an empty result.
+error; missing strips or short data are an error, surplus data is ignored; a tag whose type is not that of a
+count, size, place or code counts as unreadable and makes an error of the page; a null key is carried as null;
+repeated rows give their pages again; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +30,14 @@ from pyspark.sql import functions as F
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 NAMES = {PLAIN: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
 _TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
-MAX_PAGE_BYTES = 1 << 30
+MAX_PAGE_BYTES = (1 << 31) - (1 << 16)
 SCHEMA = "media_id long, page int, width int, height int, samples int, bits int, compression string, predictor int, tiled boolean, pixels binary, error string"
 
 
+#: Tags that must be whole numbers: sizes, codes, places and counts.
+_WHOLE = (256, 257, 258, 259, 266, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325)
+
+
 class TiffError(ValueError):
     pass
 
@@ -68,44 +75,72 @@ def pack_bits(raw: bytes) -> bytes:
     return b"".join(out)
 
 
-def lzw_decode(raw: bytes) -> bytes:
-    """Most significant bit first, codes of 9 to 12 bits that widen one code early."""
-    single = [bytes([i]) for i in range(256)] + [b"", b""]
-    entries, width, limit = list(single), 9, 511
-    out: list[bytes] = []
-    held, bits, last = 0, 0, b""
-    for byte in raw:
-        held = (held << 8) | byte
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 256:
-            entries, width, limit, last = list(single), 9, 511, b""
-            continue
-        if code == 257:
+def _lzw_widths() -> np.ndarray:
+    """Bit places of the codes after a clear code: widths grow with the table, one code early."""
+    size = np.arange(258, 258 + 4096)  # entries when the code is read; the first makes none
+    size[1:] -= 1
+    width = np.where(size < 511, 9, np.where(size < 1023, 10, np.where(size < 2047, 11, 12)))
+    return np.concatenate([[0], np.cumsum(width)])
+
+
+_LZW_AT = _lzw_widths()
+_BYTES = [bytes([i]) for i in range(256)]
+
+
+def _lzw_copied(codes: np.ndarray) -> bytes:
+    """What the codes from one clear code to the next give; entry 258 + j is what code j gave and the byte after it."""
+    n, literal, j = len(codes), codes < 256, codes - 258
+    if (j >= np.arange(n)).any():
+        raise TiffError("LZW code out of range" if n and literal[0] else "LZW stream does not begin with a literal")
+    steps, back = (~literal).astype(np.int64), np.where(literal, np.arange(n), j)
+    while steps[back].any():  # pointers doubled: how many copies a code is from its literal
+        steps, back = steps + steps[back], back[back]
+    at = np.concatenate([[0], np.cumsum(steps + 1)])
+    if at[-1] > 64 * n:  # long copies are better made one by one
+        out = bytearray()
+        for i, code in enumerate(codes.tolist()):
+            if code < 256:
+                out.append(code)
+            else:
+                p, z = int(at[code - 258]), int(at[code - 257]) + 1
+                out += out[p:z] if z <= len(out) else out[p : z - 1] + out[p : p + 1]
+        return bytes(out)
+    of = np.arange(at[-1]) - np.repeat(np.where(literal, 0, at[:-1] - at[np.where(literal, 0, j)]), steps + 1)
+    while True:  # every byte back to the literal that it copies
+        further = of[of]
+        if (further == of).all():
             break
-        if not last:
-            if code > 257:
-                raise TiffError("LZW stream does not begin with a literal")
-            last = entries[code]
-            out.append(last)
-            continue
-        if code < len(entries):
-            now = entries[code]
-        elif code == len(entries):
-            now = last + last[:1]
-        else:
-            raise TiffError("LZW code out of range")
-        out.append(now)
-        entries.append(last + now[:1])
-        last = now
-        if len(entries) >= limit and width < 12:
-            width += 1
-            limit = (1 << width) - 1
-    return b"".join(out)
+        of = further
+    value = np.zeros(at[-1], np.uint8)
+    value[at[:-1][literal]] = codes[literal]
+    return value[of].tobytes()
+
+
+def lzw_decode(raw: bytes) -> bytes:
+    """Most significant bit first, codes of 9 to 12 bits that widen one code early.
+
+    The codes from one clear code to the next are at known bit places, so they are read all at once. An entry of
+    the table is what its code gave and one byte more: a code over 257 copies from the output so far.
+    """
+    data = np.frombuffer(raw + b"\0\0\0\0", np.uint8).astype(np.uint32)
+    total, bit = 8 * len(raw), 0
+    out = bytearray()
+    while True:
+        n = int(np.searchsorted(_LZW_AT, total - bit, "right")) - 1
+        more = n == len(_LZW_AT) - 1  # a table that grows past its end goes on at 12 bits
+        if more:
+            n = max(n, (total - bit - int(_LZW_AT[-1])) // 12 + n)
+        place = _LZW_AT[: n + 1] if not more else np.concatenate([_LZW_AT, _LZW_AT[-1] + 12 * np.arange(1, n - len(_LZW_AT) + 2)])
+        at, width = place[:-1] + bit, np.diff(place)
+        k = at >> 3
+        word = (data[k] << 24) | (data[k + 1] << 16) | (data[k + 2] << 8) | data[k + 3]
+        codes = (word << (at & 7).astype(np.uint32)) >> (32 - width).astype(np.uint32)
+        ends = np.flatnonzero((codes == 256) | (codes == 257))
+        stop = int(ends[0]) if len(ends) else n
+        out += _lzw_copied(codes[:stop].astype(np.int64))
+        if stop == n or codes[stop] == 257 or n == 0:
+            return bytes(out)
+        bit = int(place[stop + 1]) + bit
 
 
 def lzw_encode(raw: bytes) -> bytes:
@@ -147,14 +182,15 @@ def lzw_encode(raw: bytes) -> bytes:
     return bytes(out + (held << pad).to_bytes((bits + pad) // 8, "big"))
 
 
-def inflate(raw: bytes) -> bytes:
+def inflate(raw: bytes, need: int) -> bytes:
+    """The first `need` bytes; what comes after them is not unpacked."""
     try:
-        return zlib.decompressobj().decompress(raw, MAX_PAGE_BYTES)
+        return zlib.decompressobj().decompress(raw, max(1, need))
     except zlib.error as e:
         raise TiffError(f"deflate: {e}") from None
 
 
-def _decode(raw: bytes, compression: int) -> bytes:
+def _decode(raw: bytes, compression: int, need: int) -> bytes:
     if compression == PLAIN:
         return raw
     if compression == PACKBITS:
@@ -162,7 +198,7 @@ def _decode(raw: bytes, compression: int) -> bytes:
     if compression == LZW:
         return lzw_decode(raw)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return inflate(raw)
+        return inflate(raw, need)
     raise TiffError(f"compression {compression} is not supported")
 
 
@@ -224,7 +260,7 @@ def directories(raw: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
                     raise TiffError(f"tag {tag} lies outside the file")
                 tags[tag] = struct.unpack_from(f"{order}{m}{code}", raw, where)
             (nxt,) = struct.unpack_from(order + word, raw, at + n * entry)
-        except struct.error:
+        except (struct.error, OverflowError):
             raise TiffError("a directory lies outside the file") from None
         yield order, tags
         at = nxt
@@ -232,10 +268,15 @@ def directories(raw: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
 
 def page_of(raw: bytes, order: str, tags: dict[int, tuple]) -> dict:
     """The fields of one page."""
+    wrong = [t for t in _WHOLE if any(type(v) is not int or v < 0 for v in tags.get(t, ()))]
+    tags = {t: v for t, v in tags.items() if t not in wrong}
     one = lambda tag, default: (tags.get(tag) or (default,))[0]
     page = {"width": one(256, None), "height": one(257, None), "samples": one(277, 1), "bits": one(258, 1), "compression": NAMES.get(one(259, 1), str(one(259, 1))), "predictor": one(317, 1), "tiled": 322 in tags, "pixels": None, "error": None}
+    page |= {k: None for k in ("width", "height", "samples", "bits", "predictor") if page[k] is not None and page[k] >= 1 << 31}
     try:
         w, h, spp, bits = page["width"], page["height"], page["samples"], page["bits"]
+        if wrong:
+            raise TiffError(f"tag {wrong[0]} is not a whole number")
         if not w or not h or not spp:
             raise TiffError("no size")
         if len(set(tags.get(258, (bits,)))) > 1 or bits not in (1, 2, 4, 8, 16, 32, 64):
@@ -243,7 +284,7 @@ def page_of(raw: bytes, order: str, tags: dict[int, tuple]) -> dict:
         planes = spp if one(284, 1) == 2 and spp > 1 else 1
         per = spp // planes
         if w * h * spp * max(1, bits // 8) > MAX_PAGE_BYTES:
-            raise TiffError("page over the size limit")
+            raise TiffError("page over the size of a value")
         if page["tiled"]:
             bw, bh, at, size = one(322, 0), one(323, 0), tags.get(324, ()), tags.get(325, ())
         else:
@@ -253,7 +294,10 @@ def page_of(raw: bytes, order: str, tags: dict[int, tuple]) -> dict:
         across, down = -(-w // bw), -(-h // bh)
         if len(at) < across * down * planes or len(size) < len(at):
             raise TiffError("blocks are missing")
-        out = np.zeros((h, w, spp, max(1, bits // 8)), np.uint8)
+        line = (bw * per * bits + 7) // 8
+        if line * bh > MAX_PAGE_BYTES:
+            raise TiffError("block over the size of a value")
+        out = None
         for p in range(planes):
             for k in range(across * down):
                 i = p * across * down + k
@@ -264,7 +308,9 @@ def page_of(raw: bytes, order: str, tags: dict[int, tuple]) -> dict:
                     block = np.packbits(np.unpackbits(np.frombuffer(block, np.uint8), bitorder="little")).tobytes()
                 y, x = k // across * bh, k % across * bw
                 rows = bh if page["tiled"] else min(bh, h - y)
-                a = _samples(_decode(block, one(259, 1)), rows, bw, per, bits, order, one(317, 1))
+                a = _samples(_decode(block, one(259, 1), rows * line), rows, bw, per, bits, order, one(317, 1))
+                if out is None:  # not before there is data: a size alone takes no memory
+                    out = np.zeros((h, w, spp, max(1, bits // 8)), np.uint8)
                 out[y : y + bh, x : x + bw, p * per : (p + 1) * per] = a[: h - y, : w - x]
         page["pixels"] = out.tobytes()
     except (TiffError, ValueError, struct.error) as e:
