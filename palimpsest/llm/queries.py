@@ -37,7 +37,8 @@ def op6_url_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op7_chat_trees(spark: SparkSession, d: str) -> DataFrame:
-    return replytrees.format_turns(table(spark, d, "conversations"))
+    """The best branches of every conversation; the table has one message a turn, so rival replies are made for it."""
+    return replytrees.format_turns(replytrees.with_rivals(table(spark, d, "conversations")))
 
 
 def op8_simhash(spark: SparkSession, d: str) -> DataFrame:

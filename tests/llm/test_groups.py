@@ -246,7 +246,7 @@ def brute_trees(rows, best=1):
             if not kids[p[-1]]:
                 found.append(p)
             stack += [[*p, k] for k in kids[p[-1]]]
-        found.sort(key=lambda p: (-sum(msgs[m][5] for m in p) / len(p), -len(p), p))
+        found.sort(key=lambda p: (-sum(msgs[m][5] for m in p) / len(p), -len(p), p[-1]))
         for n, p in enumerate(found[:best], 1):
             out[t, n] = "\n".join(f"<|{msgs[m][3]}|>\n{msgs[m][4]}\n<|end|>" for m in p)
     return out
@@ -260,6 +260,26 @@ def test_reply_trees(spark, seed):
     assert got == brute_trees(rows, 3)
 
 
+def test_deep_and_wide_trees(spark):
+    """10,000 replies in a row beside 3,000 rival replies; a handful of written rounds, not one for each reply."""
+    deep = [(1, m, m - 1 if m else None, "user", f"m{m}", 1.0) for m in range(10_000)]
+    wide = [(1, 20_000 + k, 5000, "assistant", f"r{k}", float(k)) for k in range(3000)]
+    got = {x.branch: x for x in replytrees.format_trees(spark.createDataFrame(deep + wide, TREE), best=2).collect()}
+    assert [got[k].n_messages for k in (1, 2)] == [5002, 5002] and got[1].score > got[2].score > 1
+    assert got[1].conversation.endswith("r2999\n<|end|>") and got[1].conversation.count("<|user|>") == 5001
+    (only,) = replytrees.format_trees(spark.createDataFrame(deep, TREE), best=2).collect()
+    assert only.conversation == "\n".join(f"<|user|>\nm{k}\n<|end|>" for k in range(10_000))
+
+
+def test_rivals_are_ranked(spark, data):
+    turns = spark.read.parquet(f"{data}/conversations.parquet")
+    rows = replytrees.format_turns(replytrees.with_rivals(turns)).collect()
+    assert {r.conv_id for r in rows} == {r.conv_id for r in turns.select("conv_id").distinct().collect()}
+    second = [r for r in rows if r.branch == 2]
+    first = {r.conv_id: r for r in rows if r.branch == 1}
+    assert len(second) > 5 and all(first[r.conv_id].score >= r.score and first[r.conv_id].conversation != r.conversation for r in second)
+
+
 def test_reply_trees_of_odd_rows(spark):
     rows = [(1, 1, None, None, None, None), (1, 1, 5, "user", "twin", 9.0), (1, 2, 1, "assistant", "two", 1.0), (None, 1, None, "user", "x", 1.0), (1, None, 1, "user", "x", 1.0), (2, 1, 2, "user", "loop", 1.0), (2, 2, 1, "user", "loop", 1.0), (3, 7, 3, "user", "é" * 100_000, 1.0)]
     df = spark.createDataFrame(rows, TREE).withColumn("path", F.lit(1)).withColumn("leaf", F.lit("x"))
