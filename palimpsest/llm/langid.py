@@ -6,15 +6,17 @@ loss-weighted: a language's loss is the sum over bits of the bit's weight times
 prediction against the codeword, and the language with the smallest loss wins. It is ambiguous when the
 second loss is less than `MARGIN` (of the number of bits) above the first.
 
-The classifiers are ridge regressions fitted to at most `PER_LANGUAGE` documents of each language, those
-with the smallest hash of doc_id; the first `TRAIN_CHARS` characters of each are used for the fit alone.
-Bits are weighted by their leave-one-out accuracy above chance. Documents are classified by their whole
-texts, in one map without a shuffle.
+The classifiers are ridge regressions fitted to at most `PER_LANGUAGE` documents of each language and at most
+`TRAIN_ROWS` in all, those with the smallest hash of doc_id; the n-grams of their whole texts are counted in
+tasks, and only the counts come to the driver. More languages than TRAIN_ROWS are refused. Bits are weighted by
+their leave-one-out accuracy above chance. Documents are classified by their whole texts, in one map without a
+shuffle.
 
 Defined results: texts that are null or have no letter get language 'und', ambiguous, confidence 0; rows
 with a null language are classified but not trained on; with fewer than two languages every text with a
 letter gets the only one (or 'und'); equal losses go to the first language in order of name; repeated
-rows are classified alike; extra columns are not read; empty tables give empty results.
+rows are classified alike, and of different texts under one doc_id and language the smallest is trained on;
+extra columns are not read; very long texts are read whole; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from . import textops as tx
 
 PER_LANGUAGE = 400
-TRAIN_CHARS = 20_000
+TRAIN_ROWS = 3200
 BUCKETS = 1 << 13
 MARGIN = 0.1
 U = np.uint32
@@ -76,10 +78,11 @@ def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, list[np.ndarr
 class Decoder:
     """Codewords, the binary classifiers' weights, and the weights of the bits."""
 
-    def __init__(self, languages: list[str], texts: list[str], labels: np.ndarray, ridge: float = 1.0):
+    def __init__(self, languages: list[str], shares: np.ndarray, labels: np.ndarray, ridge: float = 1.0):
+        """shares: one row for each training text, the share of each n-gram among those of its length."""
         self.languages = languages
         self.code = codewords(len(languages))
-        x = np.concatenate([self._counts(d, o) for _, _, d, o in tx.chunks(pa.array(texts, pa.large_string()))])
+        x = shares.astype(np.float32)
         self.scale = 1 / (np.sqrt(x.mean(0)) + 1e-3)
         x *= self.scale
         self.mean = x.mean(0)
@@ -96,15 +99,6 @@ class Decoder:
         self.bias = y.mean(0) - self.mean @ w
         self.weights = (w * self.scale[:, None]).astype(np.float32)
 
-    @staticmethod
-    def _counts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        keep, at = grams(data, offs)
-        row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[keep]
-        out = np.zeros((len(offs) - 1, 3 * BUCKETS), np.float32)
-        for n, a in enumerate(at):
-            np.add.at(out, (row, a[keep] + n * BUCKETS), 1)
-        return out / np.maximum(out[:, :BUCKETS].sum(1), 1)[:, None]
-
     def losses(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Loss of each language for each row, and which rows have letters."""
         keep, at = grams(data, offs)
@@ -121,17 +115,52 @@ class Decoder:
         return loss, letters
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], Decoder | None]:
+def gram_counts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, n-gram (2- and 3-grams numbered after the 1-grams) and count of each distinct n-gram of each row."""
+    keep, at = grams(data, offs)
+    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[keep]
+    both, n = np.unique(np.concatenate([row * (3 * BUCKETS) + a[keep] + k * BUCKETS for k, a in enumerate(at)]), return_counts=True)
+    return both // (3 * BUCKETS), both % (3 * BUCKETS), n
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, language, gram, n) of rows (id, language, text): lists of the n-grams of each whole text and their counts."""
+    for b in batches:
+        for row0, end, data, offs in tx.chunks(b.column(2), 1 << 18):
+            row, gram, n = gram_counts(data, offs)
+            starts = np.searchsorted(row, np.arange(end - row0 + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(starts, pa.array(c.astype(np.int32))) for c in (gram, n)]
+            yield pa.RecordBatch.from_arrays([b.column(k).slice(row0, end - row0) for k in (0, 1)] + lists, names=["id", "language", "gram", "n"])
+
+
+def shares_of(gram: list[np.ndarray], n: list[np.ndarray]) -> np.ndarray:
+    """Dense rows of n-gram shares from the lists of counted()."""
+    out = np.zeros((len(gram), 3 * BUCKETS), np.float32)
+    for k, (g, c) in enumerate(zip(gram, n)):
+        out[k, g] = c
+    return out / np.maximum(out[:, :BUCKETS].sum(1), 1)[:, None]
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, train_rows: int = TRAIN_ROWS) -> tuple[list[str], Decoder | None]:
+    base = docs.select(docs["doc_id"].cast("long").alias("id"), docs["lang"].cast("string").alias("language"), docs["text"].cast("string").alias("text")).filter("id is not null and language is not null")
+    known = base.select("language").distinct().limit(train_rows + 1).count()
+    if known > train_rows:
+        raise ValueError(f"more than {train_rows} languages")
+    per_language = min(per_language, max(1, train_rows // max(1, known)))
     w = Window.partitionBy("language").orderBy(F.xxhash64("id"), "id")
-    base = docs.select(docs["doc_id"].alias("id"), docs["lang"].cast("string").alias("language"), F.substring(docs["text"].cast("string"), 1, TRAIN_CHARS).alias("text")).filter("id is not null and language is not null")
-    picked = base.select("id", "language").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_language).select(F.col("id").alias("i"), F.col("language").alias("l"))
-    joined = base.join(F.broadcast(picked), (F.col("id") == F.col("i")) & (F.col("language") == F.col("l")))  # per_language ids for each language
-    rows = joined.select("id", "language", "text").dropDuplicates(["id", "language"]).toArrow().to_pylist()
-    rows = sorted((r for r in rows if r["text"]), key=lambda r: (r["language"], r["id"]))
-    languages = sorted({r["language"] for r in rows})
+    # ids of repeated rows take several of the first places; they are one training text all the same
+    picked = base.select("id", "language").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_language).select(F.col("id").alias("i"), F.col("language").alias("l")).distinct()
+    joined = base.join(F.broadcast(picked), (F.col("id") == F.col("i")) & (F.col("language") == F.col("l")))  # at most train_rows ids
+    texts = joined.filter("text <> ''").groupBy("id", "language").agg(F.min("text").alias("text"))
+    rows = texts.mapInArrow(counted, "id long, language string, gram array<int>, n array<int>").toArrow()
+    names, ids = rows["language"].to_pylist(), rows["id"].to_pylist()
+    order = sorted(range(len(names)), key=lambda k: (names[k], ids[k]))
+    languages = sorted(set(names))
     if len(languages) < 2:
         return languages, None
-    return languages, Decoder(languages, [r["text"] for r in rows], np.array([languages.index(r["language"]) for r in rows]))
+    lists = [[x.values.to_numpy(zero_copy_only=False) for c in rows[f].chunks for x in c] for f in ("gram", "n")]
+    shares = shares_of(*([x[k] for k in order] for x in lists))
+    return languages, Decoder(languages, shares, np.array([languages.index(names[k]) for k in order]))
 
 
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, margin: float = MARGIN) -> DataFrame:

@@ -1,8 +1,8 @@
 """URL filter: logistic regression on hashed character n-grams of host and path.
 
 Host and path give n-grams of 3 to 5 bytes, each in a hash space of its own; the model is trained on a
-small labelled URL table (`LABELLED`, or any DataFrame of url and label) with an L2 penalty on the
-driver, and its weights, one array of `BUCKETS` numbers, go to the tasks. Only the key and url columns
+small labelled URL table (`LABELLED` of urllabels.py, or a DataFrame of url and label of at most `MOST_LABELS`
+rows; more are refused) with an L2 penalty on the driver, and its weights, one array of `BUCKETS` numbers, go to the tasks. Only the key and url columns
 are read; nothing is shuffled.
 
 Scheme, port, user information, query and fragment are left out; host and path are put in lower case, and
@@ -25,19 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
+from .urllabels import labelled
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 CUTOFF = 0.5
+MOST_LABELS = 200_000
 U = np.uint64
 _URL = re.compile(r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:www\.)?([^/?#:@]+)(?::\d*)?([^?#]*)", re.I)
 
-_BAD_HOSTS = "cheap-pills spam-farm casino-bonus free-poker lucky-slots adult-cams xxx-tube hot-singles replica-watches fake-rolex payday-loans quick-cash crypto-doubler miracle-diet lose-weight-fast viagra-shop online-pharmacy-deals torrent-crack warez-keygen phishing-login click-farm link-farm seo-backlinks spam-blast buy-followers win-prize-now sexy-chat betting-tips jackpot-city pill-store casino-royal best-casino casino-slots adult-dating adult-video adult-toys free-bets-daily bet-now online-bets ads-click ad-tracker pop-ads track-pixel win-cash win-big".split()
-_GOOD_HOSTS = "en.wikipedia city-library state-university open-journal daily-news weather-service museum national-archive cooking-notes garden-club school-board science-review history-society public-radio travel-guide math-lectures code-docs river-trust health-institute parliament farm-almanac birdwatch astronomy bookshop chess-club theatre recipes hiking-trails film-review local-council northwind harbourside lindgren thatcher whitestone heatherfield onshore thornbury anderson eastering netherton ringwood thestandard weatherby restoration inland hathaway oration eventide nordea rethink leatherworks motherwell thirteen athena estuary redstone halden printworks tidings".split()
-_BAD_PATHS = ["/buy-now/cheap", "/casino/bonus", "/xxx/videos", "/free-pills", "/win/prize", "/login/verify-account"]
-_GOOD_PATHS = ["/article/history-of-rivers", "/wiki/Spectroscopy", "/docs/install.html", "/news/2021/06/council-meets", "/about", "/lectures/3"]
-_ANY_PATHS = ["/", "/en/17", "/fr/93/", "/de/77.html", "/es/204", "/en/481"]
-LABELLED = [(f"https://{sub}{h}.{tld}{p}", y) for hosts, paths, y in ((_BAD_HOSTS, _BAD_PATHS + _ANY_PATHS, 1), (_GOOD_HOSTS, _GOOD_PATHS + _ANY_PATHS, 0)) for i, h in enumerate(hosts) for j, p in enumerate(paths) if (i + j) % 2 for sub, tld in ((("", "www.", "blog.", "m.")[(i + j) % 4], ("example.com", "example.org", "example.net")[(i + 2 * j) % 3]),)]
+LABELLED = labelled()
 
 
 def features(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,7 +86,9 @@ def train(rows: list[tuple[str, int]], rounds: int = 1500, step: float = 0.5, pe
 
 def score_urls(pages: DataFrame, labelled: DataFrame | None = None, key: str = "page_id", cutoff: float = CUTOFF) -> DataFrame:
     """(key, url, score, blocked) of every row."""
-    rows = LABELLED if labelled is None else [tuple(r) for r in labelled.select("url", "label").collect()]  # a small table by contract
+    rows = LABELLED if labelled is None else [tuple(r) for r in labelled.select("url", "label").limit(MOST_LABELS + 1).collect()]
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labelled URLs")
     weights, bias = train(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
