@@ -72,6 +72,28 @@ def test_neighbours_are_exact(labelled):
             assert {i for _, i in sure} <= {int(model.ids[s]) for s in slots[q] if s >= 0}
 
 
+def test_selection_against_direct_counts(labelled):
+    """The space is the terms of the largest chi-square of words and stems, counted by sets of strings."""
+    docs, labels, toxic = labelled
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = np.arange(1, 500, 2)
+    model = toxicity.Neighbours(ids, [texts[i] for i in ids], np.array([toxic[i] for i in ids]), 0.1, 40)
+    held = [{w for w in texts[i].split()} | {(w[:k], k) for w in texts[i].split() for k in toxicity.STEMS if len(w) > k} for i in ids]
+    y, n = [toxic[i] for i in ids], len(ids)
+    chi = {}
+    for t in set().union(*held):
+        has = [t in h for h in held]
+        if sum(has) >= 3:
+            a, b = sum(h and v for h, v in zip(has, y)), sum(h and not v for h, v in zip(has, y))
+            c, d = sum(y) - a, n - sum(y) - b
+            chi[t] = n * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * (a + c) * (b + d))
+    least = sorted(chi.values(), reverse=True)[39]
+    code = lambda t: int(tx.hash_words(t)[0]) if isinstance(t, str) else int(tx.mix(tx.hash_words(t[0]) + np.uint64(t[1]))[0])
+    chosen = set(model.names.tolist())
+    assert len(chosen) == 40
+    assert {code(t) for t, x in chi.items() if x > least + 1e-9} <= chosen <= {code(t) for t, x in chi.items() if x >= least - 1e-9}
+
+
 def test_terms_are_chosen_and_counted_over_all_documents(spark, docs_of):
     """Toxic documents share one of 600 rare words with an example each: 256 terms leave most without a neighbour."""
     r = random.Random(6)
@@ -79,7 +101,7 @@ def test_terms_are_chosen_and_counted_over_all_documents(spark, docs_of):
     docs = docs_of(texts)
     labels = spark.createDataFrame([(k, 1, int(k < 2400)) for k in range(4800)], LABELS)
     model = toxicity.fit(docs, labels)
-    assert len(model.names) > toxicity.TERMS
+    assert len(model.names) > toxicity.TERM_CHOICES[0]
     names = np.sort(np.concatenate([tx.hash_words(w) for w in ("zq7x", "w5", "nowhere")]))
     df, n = toxicity.document_frequencies(docs, names)
     want = {int(tx.hash_words(w)[0]): sum(w in t.split() for t in texts) for w in ("zq7x", "w5", "nowhere")}
