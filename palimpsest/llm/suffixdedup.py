@@ -16,7 +16,7 @@ places of the corpus, in one document or in several.
 Both sorts are made in two levels, so that a suffix that everything repeats does not fall to one task. Each
 task sorts runs of `RUN` suffixes and compares neighbours there: those with an equal neighbour are decided, and
 one representative of theirs goes on with the undecided ones to the sort of all. A suffix has so at most one
-row for each run of a task in that sort, however often it occurs.
+row for each run of a task in that sort, however often it occurs; the decided places go as one list for each text.
 
 Defined results: null and empty texts and texts shorter than min_words give no span; empty tables give an
 empty result; of rows with the same doc_id each counts as a place of its own: rows of the same text have
@@ -76,10 +76,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
     prefix = min_words - window + 1
 
     def rows_of(h: np.ndarray, at: np.ndarray, first: np.ndarray, n: int, b: pa.RecordBatch, row0: int) -> tuple[np.ndarray, ...]:
-        """Hash of the n tokens from each place on, and its text and place in it."""
+        """Hash of the n tokens from each place on, its text, its place in it, and the text's doc_id."""
         row = np.searchsorted(first, at, "right") - 1
-        ids = b.column(0).take(pa.array(row + row0))
-        return tx.windows(h, n)[at], ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), b.column(1).take(pa.array(row + row0)).to_numpy(), at - first[row]
+        take = pa.array(row + row0)
+        ids = b.column(0).take(take)
+        return tx.windows(h, n)[at], b.column(1).take(take).to_numpy(), at - first[row], ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for b in batches:
@@ -109,21 +110,20 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
             row = np.repeat(np.arange(len(o) - 1), np.diff(o))
             order = np.lexsort((at, row))
             at, row = at[order], row[order]
-            new = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + min_words)])[: len(at)]
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + min_words)])[: len(at)]  # repeated places do no harm
             f = np.flatnonzero(new)
             last = np.concatenate([f[1:], [len(at)]]) - 1 if len(f) else f
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[f])), pa.array(at[f]), pa.array(at[last] + min_words)], names=["doc_id", "token_start", "token_end"])
 
-    text = F.col("text").cast("string")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), text.alias("text"))
-    found = _with_equal_neighbour(base.mapInArrow(_sorted_runs(anchors), _PLACES), "places")
-    on = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.of") == F.col("f.of"))
-    texts = base.alias("d").join(found.alias("f"), on).select("d.doc_id", "d.of", "d.text", "f.places")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    base = docs.select(doc_id.alias("doc_id"), F.xxhash64(F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), text).alias("row"), text.alias("text"))
+    found = _with_equal_neighbour(base.mapInArrow(_sorted_runs(anchors), _PLACES), "places").select("row", "places")
+    texts = base.join(found, "row").select("doc_id", "row", "text", "places")
     spans = _with_equal_neighbour(texts.mapInArrow(_sorted_runs(extended), _PLACES), "starts")
     return spans.select("doc_id", "starts").mapInArrow(merged, "doc_id long, token_start long, token_end long")
 
 
-_PLACES = "suffix long, kind int, doc_id long, of long, at int"
+_PLACES = "suffix long, kind tinyint, row long, at int, more array<int>, doc_id long"
 _DECIDED, _STANDS, _OPEN = 0, 1, 2
 
 
@@ -143,26 +143,35 @@ def _sorted_runs(source):
         if held:
             yield from compared(*(np.concatenate(c) for c in zip(*held)))
 
-    def compared(key: np.ndarray, doc: np.ndarray, null: np.ndarray, of: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(key)
-        key, doc, null, of, at = (c[order] for c in (key, doc, null, of, at))
+    def compared(key: np.ndarray, row: np.ndarray, at: np.ndarray, doc: np.ndarray, null: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((at, row, key))
+        key, row, at, doc, null = (c[order] for c in (key, row, at, doc, null))
         same = key[1:] == key[:-1]
-        equal = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        stands = np.flatnonzero(equal & ~np.concatenate([[False], same]))
-        own = tx.mix(of.view(U) + tx.mix(doc.view(U) + at.astype(U)))
-        key = np.concatenate([np.where(equal, own, key), key[stands]])
-        take = np.concatenate([np.arange(len(of)), stands])
-        kind = np.concatenate([np.where(equal, _DECIDED, _OPEN), np.full(len(stands), _STANDS)]).astype(np.int32)
-        for lo in range(0, len(key), 1 << 16):
-            k = take[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([_long(key[lo : lo + (1 << 16)]), pa.array(kind[lo : lo + (1 << 16)]), pa.array(doc[k], mask=null[k]), pa.array(of[k]), pa.array(at[k].astype(np.int32))], names=["suffix", "kind", "doc_id", "of", "at"])
+        before = np.concatenate([[False], same])
+        equal = before | np.concatenate([same, [False]])
+        # one list of decided places for each text, under a hash of its own, and with it the text's doc_id
+        by_text = np.argsort(row, kind="stable")
+        f = np.flatnonzero(np.concatenate([[True], row[by_text][1:] != row[by_text][:-1]]))
+        one = by_text[f]
+        decided = by_text[equal[by_text]]
+        offsets = np.concatenate([np.add.reduceat(equal[by_text].astype(np.int64), f).cumsum()])
+        offsets = np.concatenate([[0], offsets]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(offsets, pa.array(at[decided].astype(np.int32)))
+        yield batch(tx.mix(row[one].view(U)), _DECIDED, row[one], np.zeros(len(one)), lists, pa.array(doc[one], mask=null[one]))
+        for kind, k in ((_STANDS, np.flatnonzero(equal & ~before)), (_OPEN, np.flatnonzero(~equal))):
+            yield batch(key[k], kind, row[k] if kind == _OPEN else np.zeros(len(k), np.int64), at[k] if kind == _OPEN else np.zeros(len(k)), pa.nulls(len(k), pa.list_(pa.int32())), pa.nulls(len(k), pa.int64()))
+
+    def batch(key: np.ndarray, kind: int, row: np.ndarray, at: np.ndarray, more: pa.Array, doc: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_long(key), pa.array(np.full(len(key), kind, np.int8)), pa.array(row), pa.array(at.astype(np.int32)), more, doc], names=["suffix", "kind", "row", "at", "more", "doc_id"])
 
     return run
 
 
 def _with_equal_neighbour(rows: DataFrame, name: str) -> DataFrame:
-    """(doc_id, of, name): the places of each text whose suffix has an equal neighbour, decided or in the sort of all."""
-    w = Window.partitionBy("suffix", F.col("kind") == _DECIDED).orderBy("kind", "doc_id", "of", "at")
+    """(row, doc_id, name): the places of each text whose suffix has an equal neighbour, decided or in the sort of all."""
+    w = Window.partitionBy("suffix", F.col("kind") == _DECIDED).orderBy("kind")
     sought = rows.select("*", F.lag(F.lit(1)).over(w).alias("before"), F.lead(F.lit(1)).over(w).alias("after"))
     kept = sought.filter((F.col("kind") == _DECIDED) | (F.col("kind") == _OPEN) & (F.col("before").isNotNull() | F.col("after").isNotNull()))
-    return kept.groupBy("doc_id", "of").agg(F.collect_set("at").alias(name))
+    open_places = F.collect_list(F.when(F.col("kind") == _OPEN, F.col("at")))  # null, and so left out, of the others
+    places = F.concat(F.flatten(F.collect_list("more")), open_places)
+    return kept.groupBy("row").agg(F.max("doc_id").alias("doc_id"), places.alias(name)).filter(F.size(name) > 0)

@@ -170,10 +170,12 @@ def test_repeats_in_every_document(docs_of, prose, monkeypatch):
         monkeypatch.setattr(sd, "RUN", run)
         got = sd.repeated_passages(docs_of(docs).repartition(5)).collect()
         assert sorted((x.doc_id is None, x.doc_id or 0, x.token_start, x.token_end) for x in got) == want
-    sources = sd._sorted_runs(lambda _: iter([(np.full(1000, 7, np.uint64), np.arange(1000), np.zeros(1000, bool), np.arange(1000), np.zeros(1000, np.int64))]))
+    zeros = np.zeros(1000, np.int64)
+    sources = sd._sorted_runs(lambda _: iter([(np.full(1000, 7, np.uint64), np.arange(1000) // 10, np.arange(1000), zeros, zeros > 0)]))
     monkeypatch.setattr(sd, "RUN", 1 << 19)
     sent = pa.Table.from_batches(sources(iter([])))
-    assert Counter(sent["kind"].to_pylist()) == {sd._DECIDED: 1000, sd._STANDS: 1} and len(set(sent["suffix"].to_pylist())) == 1001
+    assert Counter(sent["kind"].to_pylist()) == {sd._DECIDED: 100, sd._STANDS: 1} and len(set(sent["suffix"].to_pylist())) == 101
+    assert sorted(x for m in sent["more"].to_pylist() for x in m or ()) == list(range(1000))
 
 
 def test_repeated_passages_of_odd_rows(odd, none):
