@@ -48,6 +48,7 @@ MEMBER_BITS = 25
 BATCH_WORDS = 1 << 20
 U = np.uint64
 _SALTS = [U(0x5851F42D4C957F2D), U(0x14057B7EF767814F), U(0x2545F4914F6CDD1D), U(0x9FB21C651E98DF25)]
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(U)[:, 0]
 
 
 def distinct_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -75,7 +76,13 @@ def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 to = max(at + 1, int(np.searchsorted(start, start[at] + step)))
                 lo, hi = start[at], start[to] if to < len(start) else len(h)
                 raw = np.stack([tx.mix(h[lo:hi] ^ salt) for salt in _SALTS], 1).view(np.uint8).reshape(-1, BYTES)
-                votes[at:to] = np.add.reduceat(np.unpackbits(raw, axis=1), start[at:to] - lo, axis=0, dtype=np.int32)
+                # the bits of a byte in eight lanes of one number, so up to 255 words are added at once
+                own = start[at:to] - lo
+                pieces = -(-size[at:to] // 255)
+                first = np.cumsum(pieces) - pieces
+                piece = np.repeat(own - 255 * first, pieces) + 255 * np.arange(int(pieces.sum()))
+                lanes = np.add.reduceat(_LANES[raw], piece, axis=0)
+                votes[at:to] = np.add.reduceat(lanes.view(np.uint8), first, axis=0, dtype=np.int32)
                 at = to
             fp = np.packbits(votes * 2 > size[:, None], axis=1)
             whole = np.add.reduceat(tx.mix(h), start)

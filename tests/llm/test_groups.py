@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,16 @@ def test_blocks_of_a_component_miss_no_pair(docs_of, monkeypatch):
     assert max(n for _, _, n in whole) >= 30
 
 
+def test_fingerprints_against_direct_votes(prose):
+    texts = [prose(1, 7), prose(2, 255), prose(3, 700), "x", prose(4, 60_000, 10**6), prose(5, 256)]
+    batch = pa.RecordBatch.from_pydict({"d": pa.array(range(len(texts))), "t": pa.array(texts, pa.large_string())})
+    got = {d: f for b in simhash.fingerprints(iter([batch])) for d, f in zip(b["doc_id"].to_pylist(), b["fp"].to_pylist())}
+    for k, t in enumerate(texts):
+        h = np.unique(tx.hash_words(t))
+        raw = np.stack([tx.mix(h ^ s) for s in simhash._SALTS], 1).view(np.uint8).reshape(len(h), -1)
+        assert got[k] == np.packbits(2 * np.unpackbits(raw, axis=1).sum(0, dtype=int) > len(h)).tobytes()
+
+
 def pairs_of(seed, kept, size=200, n=60):
     """Pairs of texts of `size` distinct words each that have `kept` words in common."""
     r = random.Random(seed)
