@@ -35,6 +35,31 @@ def after(text: Column, mark: str) -> Column:
     return F.when(at > 0, F.substring(text, at + len(mark), F.length(text)))
 
 
+def _bytes_before(text: Column, at: Column) -> Column:
+    return F.octet_length(F.substring(text, F.lit(1), at - 1)).cast("bigint")
+
+
+def scan_to_any(text: Column, marks: list[str], inclusive: bool = False) -> Column:
+    """(off, which): the byte offset of the earliest of several marks, or behind it, and its place in the list; of marks that begin together the first; -1 and -1 if there is none."""
+    found = F.array_min(F.filter(F.array(*(F.struct(F.instr(text, m).alias("at"), F.lit(k).alias("which"), F.lit(len(m.encode())).alias("size")) for k, m in enumerate(marks))), lambda s: s["at"] > 0))
+    return bound(
+        found,
+        lambda s: F.when(text.isNull(), F.lit(None)).otherwise(
+            F.struct(F.coalesce(_bytes_before(text, s["at"]) + (s["size"] if inclusive else 0), F.lit(-1)).cast("bigint").alias("off"), F.coalesce(s["which"], F.lit(-1)).alias("which"))
+        ),
+    )
+
+
+def limited_scan(text: Column, mark: str, most: int, inclusive: bool = False) -> Column:
+    """(off, found): how many bytes a scan to a mark goes that may not go further than `most`; found if it ends at the mark."""
+    size = len(mark.encode()) if inclusive else 0
+    reach = F.when(F.instr(text, mark) > 0, _bytes_before(text, F.instr(text, mark)) + size)
+    return bound(
+        reach,
+        lambda r: F.when(text.isNotNull(), F.struct(F.coalesce(F.when(r <= most, r), F.least(F.octet_length(text), F.lit(most))).cast("bigint").alias("off"), F.coalesce(r <= most, F.lit(False)).alias("found"))),
+    )
+
+
 def page_key(text: Column) -> Column:
     """The page's number: the first <id>, which precedes those of its revisions; -1 if it has none."""
     return F.coalesce(peek_int(after(text, "<id>")), F.lit(-1).cast("bigint"))
@@ -90,9 +115,9 @@ def cut_meta_everywhere(text: Column) -> Column:
     return F.array_join(F.transform(parts, cut_meta), REVISION)
 
 
-def usable_source(text: Column) -> Column:
+def usable_source(text: Column, most: int = MAX_SOURCE_BYTES) -> Column:
     """A source text, null if it is longer than a delta may refer to."""
-    return F.when(F.octet_length(text) <= MAX_SOURCE_BYTES, text)
+    return F.when(F.octet_length(text) <= most, text)
 
 
 def changed(key: Column, text: Column, source_text: Column) -> Column:

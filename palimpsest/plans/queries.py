@@ -13,21 +13,22 @@ from ..functions import text as tx
 from ..functions.delta import delta_apply, delta_encode, delta_ops, fnv1a
 from ..operators.cut import cut, last_of_group
 from ..operators.merge import ascending_only, merge
-from ..operators.pack import pack, unpack
+from ..operators.pack import pack, quarantined, unpack
 from ..operators.reference import best_reference, changed_pages
-from ..runtime import shared_dir
-from ..sources import container, dump, sinks
+from ..runtime import local_path, shared_dir
+from ..sources import blocks, container, dump, sinks
 from ..streaming import daily
+from . import dumps
 from .tables import namespace, page_markup, segments, snapshots, table, thread_markup, whole_dump
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}".removeprefix("file://")
+    return local_path(f"{shared_dir(spark)}/{uuid.uuid4().hex}")
 
 
-def _dump_file(spark: SparkSession, d: str, compression: str) -> str:
+def _dump_file(spark: SparkSession, d: str, compression: str, where: str = "true") -> str:
     path = _folder(spark) + ".xml" + {"none": "", "gz": ".gz", "bz2": ".bz2", "xz": ".xz"}[compression]
-    sinks.write_dump(whole_dump(spark, d), path, compression)
+    sinks.write_dump(whole_dump(spark, d, where), path, compression)
     return path
 
 
@@ -39,6 +40,58 @@ def _scan(compression: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def suffix_probing(spark: SparkSession, d: str) -> DataFrame:
+    """A dump asked for by its name without the codec's suffix."""
+    path = _dump_file(spark, d, "bz2")
+    return dump.read_dump(spark, path.removesuffix(".bz2")).select("key", "ns", "start", "length", F.md5("text").alias("text_md5"))
+
+
+def stdin_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A dump that comes as a stream of bytes."""
+    with open(_dump_file(spark, d, "none"), "rb") as stream:
+        path = dump.spool(spark, stream)
+    return dump.read_dump(spark, path).select("key", "ns", "start", "length", F.md5("text").alias("text_md5"))
+
+
+def bz2_random_access(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of a packed dump by its place, through the index of the dump's blocks."""
+    path = _dump_file(spark, d, "bz2")
+    places = dump.read_dump(spark, path).select("key", "start", "length")
+    got = blocks.read_at(path, blocks.block_index(spark, path), places.select(F.col("start").alias("offset"), "length"))
+    return places.join(got, (F.col("start") == F.col("offset")) & (places["length"] == got["length"])).select("key", "start", F.md5("bytes").alias("text_md5"))
+
+
+def scan_to_any(spark: SparkSession, d: str) -> DataFrame:
+    found = tx.scan_to_any(F.col("html"), ["<h1>", "<p>", "</nav>", "é"], inclusive=True)
+    return table(spark, d, "pages").select("page_id", found.alias("f")).select("page_id", "f.off", "f.which")
+
+
+def limited_scan(spark: SparkSession, d: str) -> DataFrame:
+    found = tx.limited_scan(F.col("text"), "é", 40)
+    return table(spark, d, "documents").select("doc_id", found.alias("f")).select("doc_id", "f.off", "f.found")
+
+
+def merge_files(spark: SparkSession, d: str) -> DataFrame:
+    """Two dumps from files, the newer one without a source."""
+    paths = [_dump_file(spark, d, "none", "source <> 'src7'"), _dump_file(spark, d, "gz")]
+    return dumps.merge_dumps(spark, paths).select("key", F.md5("text").alias("text_md5"))
+
+
+def pack_files(spark: SparkSession, d: str) -> DataFrame:
+    """A dump packed against an older one and unpacked from the pack file, under the name that the pack gives it."""
+    paths = [_dump_file(spark, d, "none"), _dump_file(spark, d, "bz2", "lang <> 'de'")]
+    rows, named = dumps.unpack_dump(spark, dumps.pack_dump(spark, paths, compression="gz"))
+    sinks.write_dump(rows, f"{named}.unpacked")
+    return dump.read_dump(spark, f"{named}.unpacked").select("key", "ns", "start", "length", F.md5("text").alias("text_md5"))
+
+
+def quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """Deltas whose checksums were damaged, as the report of them has it."""
+    new, refs = snapshots(spark, d)
+    damaged = pack(new, refs).withColumn("out_cksum", F.when(F.col("ord") % 7 == 0, F.col("out_cksum").bitwiseXOR(F.lit(1))).otherwise(F.col("out_cksum")))
+    return quarantined(damaged, refs).select("ord", "src_ok", "out_ok", "text")
+
+
 def ns_filter(spark: SparkSession, d: str) -> DataFrame:
     return cut(snapshots(spark, d)[0], ns=0).select("key", "ns", "text")
 
@@ -157,7 +210,7 @@ def file_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def size_guard(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.md5(tx.usable_source(F.col("text"))).alias("text_md5"))
+    return table(spark, d, "documents").select("doc_id", F.md5(tx.usable_source(F.col("text"), 1500)).alias("text_md5"))
 
 
 def cut_pipeline(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +228,7 @@ def daily_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (ns_filter, last_revision, last_revision_text, cut_meta, cut_meta_all, cut_between, peek_int, page_fields, merge_leftmost, merge_namespace, merge_monotonic, best_reference_strict, pack_table, pack_file, delta_functions, delta_stats, file_names, size_guard, cut_pipeline, daily_merge)
+    own = (ns_filter, last_revision, last_revision_text, cut_meta, cut_meta_all, cut_between, peek_int, page_fields, merge_leftmost, merge_namespace, merge_monotonic, best_reference_strict, pack_table, pack_file, delta_functions, delta_stats, file_names, size_guard, cut_pipeline, daily_merge, suffix_probing, stdin_scan, bz2_random_access, scan_to_any, limited_scan, merge_files, pack_files, quarantine)
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in own}
     out |= {f"segment_scan_{c}": _scan(c) for c in ("none", "gz", "bz2", "xz")}
     return out | {"best_reference": best_reference_query, "changed_pages": changed, "pack_unpack_roundtrip": pack_unpack, "change_dump": change_dump, "fnv1a": fnv1a_query}
@@ -244,8 +297,20 @@ SELECT key, start FROM m WHERE held IS NULL OR key > held""",
         "fnv1a": f"SELECT doc_id, CAST({_FNV.format(t='text')} AS BIGINT) AS checksum FROM documents",
         "file_names": """SELECT page_id, split_part(url, '/', -1) AS base, regexp_replace(url || '.gz.bz2', '(\\.(lzo|gz|bz2|xz))+$', '') AS unzipped,
 CASE length(url) % 3 WHEN 0 THEN 'bz2' WHEN 1 THEN 'gz' ELSE 'xz' END AS codec, regexp_full_match(split_part(url, '/', -1), '[-a-zA-Z0-9_.]*') AS safe FROM pages""",
-        "size_guard": f"SELECT doc_id, CASE WHEN {_BYTES.format('text')} <= 100000000 THEN md5(text) END AS text_md5 FROM documents",
+        "size_guard": f"SELECT doc_id, CASE WHEN {_BYTES.format('text')} <= 1500 THEN md5(text) END AS text_md5 FROM documents",
         "cut_pipeline": f"{_DUMP.replace(_META, '')} SELECT key, text FROM p WHERE ns = 0 OR ns IS NULL",
         "daily_merge": f"WITH {_FOUR} " + leftmost.format("f"),
+        "suffix_probing": _SCAN,
+        "stdin_scan": _SCAN,
+        "pack_files": _SCAN,
+        "bz2_random_access": f"SELECT key, start, text_md5 FROM ({_SCAN})",
+        "scan_to_any": f"""WITH m AS (SELECT * FROM (VALUES ('<h1>', 0), ('<p>', 1), ('</nav>', 2), ('é', 3)) v(mark, which)),
+h AS (SELECT page_id, html, mark, which, strpos(html, mark) AS pos FROM pages, m WHERE strpos(html, mark) > 0),
+f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos, which) = 1)
+SELECT p.page_id, coalesce({_BYTES.format("substr(f.html, 1, pos - 1)")} + {_BYTES.format("mark")}, -1) AS off, coalesce(which, -1) AS which FROM pages p LEFT JOIN f USING (page_id)""",
+        "limited_scan": f"""WITH s AS (SELECT doc_id, CASE WHEN strpos(text, 'é') > 0 THEN {_BYTES.format("substr(text, 1, strpos(text, 'é') - 1)")} END AS reach, {_BYTES.format('text')} AS size FROM documents)
+SELECT doc_id, CASE WHEN reach <= 40 THEN reach ELSE least(size, 40) END AS off, coalesce(reach <= 40, false) AS found FROM s""",
+        "merge_files": f"""{_DUMP.replace("doc_id = (SELECT min(doc_id) FROM documents)", "doc_id = (SELECT min(doc_id) FROM documents) AND source = 'src7' OR doc_id = (SELECT min(doc_id) FROM documents WHERE source <> 'src7')")} SELECT key, md5(text) AS text_md5 FROM p""",
+        "quarantine": f"WITH {_NEW} SELECT key AS ord, true AS src_ok, false AS out_ok, text FROM new WHERE key % 7 = 0",
         **{f"segment_scan_{c}": _SCAN for c in ("none", "gz", "bz2", "xz")},
     }

@@ -56,9 +56,9 @@ def thread_markup(turns: DataFrame) -> DataFrame:
     return each.select((F.col("conv_id") + 1).alias("key"), F.concat(F.lit("  <page>\n    <id>"), F.col("conv_id") + 1, F.lit("</id>\n"), F.col("body"), F.lit("  </page>")).alias("text"))
 
 
-def whole_dump(spark: SparkSession, folder: str) -> DataFrame:
-    """Segments of a dump of all documents, with a preamble and a trailer; start and length are left to the scan."""
-    d = table(spark, folder, "documents")
+def whole_dump(spark: SparkSession, folder: str, where: str = "true") -> DataFrame:
+    """Segments of a dump of the documents, with a preamble and a trailer; start and length are left to the scan."""
+    d = table(spark, folder, "documents").filter(where)
     ends = spark.createDataFrame([(PREAMBLE, HEAD), (TRAILER, TAIL)], "key long, text string")
     first = d.agg(F.min("doc_id").alias("first"))  # one row: its indent is part of the preamble
     pages = d.crossJoin(F.broadcast(first)).select((F.col("doc_id") + 1).alias("key"), F.concat(F.when(F.col("doc_id") == F.col("first"), "").otherwise("\n  "), page_markup()).alias("text"))

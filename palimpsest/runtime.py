@@ -25,3 +25,11 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def local_path(path: str) -> str:
+    """A path that Python can open: of a file system that every node mounts."""
+    short = path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
+    if "://" in short:
+        raise ValueError(f"{path}: dumps and pack files are read and written by path, so their file system must be mounted on every node")
+    return short

@@ -5,6 +5,7 @@ import functools
 import gzip
 import http.server
 import io
+import os
 import lzma
 import threading
 
@@ -208,6 +209,30 @@ def test_container_format():
         container.header(["one"])
 
 
+def test_paths_that_no_node_mounts(spark):
+    with pytest.raises(ValueError, match="mounted"):
+        sinks.write_dump(spark.createDataFrame([], "key long, text string"), "hdfs://somewhere/x.xml")
+
+
+def test_scans_in_a_text(spark):
+    rows = [("abcéXdef",), ("",), (None,), ("X",), ("éé",), ("YX" * 40_000,)]
+    got = spark.createDataFrame(rows, "t string").select(tx.scan_to_any(F.col("t"), ["Y", "X"]).alias("a"), tx.scan_to_any(F.col("t"), ["d", "X"], True).alias("b"), tx.limited_scan(F.col("t"), "X", 5).alias("c"), tx.limited_scan(F.col("t"), "X", 5, True).alias("d")).collect()
+    assert [r.a and tuple(r.a) for r in got] == [(5, 1), (-1, -1), None, (0, 1), (-1, -1), (0, 0)]
+    assert [r.b and tuple(r.b) for r in got] == [(6, 1), (-1, -1), None, (1, 1), (-1, -1), (2, 1)]
+    assert [r.c and tuple(r.c) for r in got] == [(5, True), (0, False), None, (0, True), (4, False), (1, True)]
+    assert [r.d and tuple(r.d) for r in got] == [(5, False), (0, False), None, (1, True), (4, False), (2, True)]
+
+
+def test_one_scan_of_a_packed_file(spark, tmp_path):
+    path = tmp_path / "x.xml.bz2"
+    path.write_bytes(bz2.compress(whole(page(1), page(2)).encode()))
+    plan = dump.read_dump(spark, str(path))._jdf.queryExecution().toString()
+    assert "x.xml.bz2" not in plan  # it was read and stored; what is left reads Parquet
+    (tmp_path / "y.xml").write_text(whole(page(1), page(2)))
+    plan = dump.read_dump(spark, str(tmp_path / "y.xml"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1
+
+
 def test_command_line(spark, tmp_path, monkeypatch):
     a, b = whole(page(1), page(3)), whole(page(1, revisions=("older",)), page(2))
     (tmp_path / "a.xml").write_text(a)
@@ -220,6 +245,15 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert cli.main(["pack", str(tmp_path / "a.xml"), str(tmp_path / "b.xml"), "--zip", "gz"]) == 0
     assert cli.main(["unpack", str(tmp_path / "a.xml.pack.gz"), "--out", str(out)]) == 0
     assert out.read_text() == a
+    # a pack file is unpacked to the dump it names, standard input to standard output, unless it is told otherwise
+    (tmp_path / "a.xml").unlink()
+    assert cli.main(["unpack", str(tmp_path / "a.xml.pack.gz"), "--debug"]) == 0
+    assert (tmp_path / "a.xml").read_text() == a
+    said = io.BytesIO()
+    monkeypatch.setattr(cli.sys, "stdout", io.TextIOWrapper(said))
+    assert cli.main(["unpack", "-c", str(tmp_path / "a.xml.pack.gz"), "--cpuprofile", str(tmp_path / "profile")]) == 0
+    assert said.getvalue().decode() == a and os.path.isdir(tmp_path / "profile")
+    spark.conf.unset("spark.sql.pyspark.udf.profiler")
     with pytest.raises(SystemExit):
         cli.main(["pack", str(tmp_path / "a.xml"), "--zip", "zip"])
     with pytest.raises(ValueError):

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -143,3 +144,19 @@ def test_stream_of_daily_dumps(spark, tmp_path):
     daily.upsert(frame(spark, [(2, "tue2"), (3, "wed3")], 3), 1, out)  # a repeated batch
     assert daily.snapshot(spark, out).count() == 3
     assert daily.snapshot(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("compact", [0.0, 0.25, 1e9])
+def test_batches_and_whole_snapshots(spark, tmp_path, compact):
+    """Whenever whole snapshots are written, and after repeated batches, the newest version of each page is read."""
+    r, want, out = random.Random(5), {}, str(tmp_path / "out")
+    for n in range(8):
+        batch = [(k, f"{n}:{k}") for k in r.sample(range(300), 200 if n == 0 else 12)]
+        want |= dict(batch)
+        rows = frame(spark, batch, n)
+        daily.upsert(rows, n, out, compact)
+        if n % 3 == 1:
+            daily.upsert(rows, n, out, compact)
+        assert {x.key: x.text for x in daily.snapshot(spark, out).collect()} == want
+    whole = [d for d in os.listdir(out) if d.startswith("b")]
+    assert len(whole) == (2 if compact == 0 else 1 if compact > 1 else len(whole)) and len(os.listdir(out)) <= 17
