@@ -34,7 +34,7 @@ _powers = {"p": np.ones(1, U64), "i": np.ones(1, U64)}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash multiplier and of its inverse modulo 2**64."""
     if len(_powers["p"]) < n:
-        size = 1 << max(21, int(n - 1).bit_length())
+        size = 1 << max(20, int(n - 1).bit_length())
         for key, base in (("p", _MUL), ("i", _INV)):
             a = np.full(size, base, U64)
             a[0] = 1

@@ -255,17 +255,21 @@ def choose_terms(spark: SparkSession, ids: np.ndarray, texts: list[str], toxic:
     if min(toxic.sum(), (1 - toxic).sum()) < 4:
         return TERM_CHOICES[-1]
 
-    def loss(job: tuple[int, int]) -> tuple[int, float]:
-        terms, side = job
-        own, held = np.flatnonzero(half != side), np.flatnonzero(half == side)
-        model = Neighbours(ids[own], [texts[i] for i in own], toxic[own], prevalence, terms, k)
-        p = np.concatenate([x[3] for x in model.scored(pa.array([texts[i] for i in held], pa.large_string()), ids[held])])
-        p, y = np.clip(p, 1e-6, 1 - 1e-6), toxic[held]
-        return terms, float(-prevalence * np.log(p[y == 1]).mean() - (1 - prevalence) * np.log(1 - p[y == 0]).mean())
-
     jobs = [(t, side) for t in TERM_CHOICES for side in (0, 1)]
-    losses = spark.sparkContext.parallelize(jobs, len(jobs)).map(loss).collect()
-    return min(TERM_CHOICES, key=lambda t: sum(x for u, x in losses if u == t))
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for job in b.column(0).to_pylist():
+                terms, side = jobs[job]
+                own, held = np.flatnonzero(half != side), np.flatnonzero(half == side)
+                model = Neighbours(ids[own], [texts[i] for i in own], toxic[own], prevalence, terms, k)
+                p = np.concatenate([x[3] for x in model.scored(pa.array([texts[i] for i in held], pa.large_string()), ids[held])])
+                p, y = np.clip(p, 1e-6, 1 - 1e-6), toxic[held]
+                loss = float(-prevalence * np.log(p[y == 1]).mean() - (1 - prevalence) * np.log(1 - p[y == 0]).mean())
+                yield pa.RecordBatch.from_arrays([pa.array([terms], pa.int64()), pa.array([loss])], names=["terms", "loss"])
+
+    found = spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(losses, "terms long, loss double").collect()  # two rows a choice
+    return min(TERM_CHOICES, key=lambda t: sum(r["loss"] for r in found if r["terms"] == t))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: int | None = None, k: int = K) -> Neighbours | None:
