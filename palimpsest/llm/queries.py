@@ -89,7 +89,7 @@ SELECT doc_id, min(i) AS word_start, max(e) AS word_end FROM g GROUP BY doc_id,
         "op2_suffix_dedup": f"""WITH d AS (SELECT doc_id, {raw} AS w FROM documents),
 y AS (SELECT doc_id, w, unnest(range(CAST(len(w) - {m - 1} AS BIGINT))) AS i FROM d WHERE len(w) >= {m}),
 h AS MATERIALIZED (SELECT doc_id, i, md5({gram(m)}) AS g FROM y),
-hit AS (SELECT doc_id, i FROM h WHERE g IN (SELECT g FROM h GROUP BY g HAVING count(*) > 1))"""
+hit AS (SELECT doc_id, i FROM h WHERE g IN (SELECT g FROM h GROUP BY g HAVING min(doc_id) < max(doc_id)))"""
         + _SPANS.format(n=m, a="token_start", b="token_end"),
         "op3_mix_sources": mixing.mix_sql(),
         "op5_line_dedup": f"""WITH d AS (SELECT *, string_split(text, chr(10)) AS s FROM documents),

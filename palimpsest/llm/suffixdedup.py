@@ -4,23 +4,25 @@ Only suffixes that start at minimiser positions are kept: of each run of `WINDOW
 with the smallest hash, the leftmost on ties. A passage of `min_words` tokens that occurs twice holds the
 same minimiser in both places, at most WINDOW-1 tokens from its start, so both suffixes share their next
 min_words - WINDOW + 1 tokens. The suffixes are hashed by that prefix, sorted, and compared with their
-neighbours: one with no equal neighbour cannot be part of a repeated passage and is dropped. The
-survivors go back to their texts and are extended left (to the earliest start whose first minimiser they
+neighbours: one with no equal neighbour of another document cannot be part of a repeated passage and is dropped.
+The survivors go back to their texts and are extended left (to the earliest start whose first minimiser they
 are) and right (to min_words tokens); the extensions are sorted and compared once more, and the starts
 that match are merged into the longest repeated spans.
 
 The result is exact up to 64-bit hash equality: a token is covered if and only if it lies in a run of
-`min_words` raw tokens (split at ASCII white space, case and punctuation kept) that occurs at two or more
-places of the corpus, in one document or in several.
+`min_words` raw tokens (split at ASCII white space, case and punctuation kept) that occurs in two or more
+documents. What a document repeats within itself alone is no passage.
 
 Both sorts are made in two levels, so that a suffix that everything repeats does not fall to one task. Each
-task sorts runs of `RUN` suffixes and compares neighbours there: those with an equal neighbour are decided, and
-one representative of theirs goes on with the undecided ones to the sort of all. A suffix has so at most one
-row for each run of a task in that sort, however often it occurs; the decided places go as one list for each text.
+task sorts runs of `RUN` suffixes and compares neighbours there: those with an equal neighbour of another document
+are decided, and one representative of theirs goes on with the undecided ones to the sort of all. In that sort a
+suffix has so no more rows than a run of a task has from one document, for each run, however many documents hold it;
+the decided places go as one list for each text.
 
 Defined results: null and empty texts and texts shorter than min_words give no span; empty tables give an
-empty result; of rows with the same doc_id each counts as a place of its own: rows of the same text have
-their spans given once, and those of different texts each give theirs; a null doc_id is carried as null;
+empty result; a document is a doc_id and its text: repeated rows are one document and have their spans given once,
+rows of one doc_id with different texts are different documents; a null doc_id is carried as null, and such rows
+are told apart by their texts;
 extra columns are not read; very long texts are read whole; ties cannot arise, as each text's places are sets.
 """
 
@@ -146,9 +148,10 @@ def _sorted_runs(source):
     def compared(key: np.ndarray, row: np.ndarray, at: np.ndarray, doc: np.ndarray, null: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((at, row, key))
         key, row, at, doc, null = (c[order] for c in (key, row, at, doc, null))
-        same = key[1:] == key[:-1]
-        before = np.concatenate([[False], same])
-        equal = before | np.concatenate([same, [False]])
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.concatenate([first, [len(key)]]))
+        shared = row[first] != row[first + size - 1]  # neighbours are in order of their texts
+        equal = np.repeat(shared, size)
         # one list of decided places for each text, under a hash of its own, and with it the text's doc_id
         by_text = np.argsort(row, kind="stable")
         f = np.flatnonzero(np.concatenate([[True], row[by_text][1:] != row[by_text][:-1]]))
@@ -158,7 +161,7 @@ def _sorted_runs(source):
         offsets = np.concatenate([[0], offsets]).astype(np.int32)
         lists = pa.ListArray.from_arrays(offsets, pa.array(at[decided].astype(np.int32)))
         yield batch(tx.mix(row[one].view(U)), _DECIDED, row[one], np.zeros(len(one)), lists, pa.array(doc[one], mask=null[one]))
-        for kind, k in ((_STANDS, np.flatnonzero(equal & ~before)), (_OPEN, np.flatnonzero(~equal))):
+        for kind, k in ((_STANDS, first[shared]), (_OPEN, np.flatnonzero(~equal))):
             yield batch(key[k], kind, row[k] if kind == _OPEN else np.zeros(len(k), np.int64), at[k] if kind == _OPEN else np.zeros(len(k)), pa.nulls(len(k), pa.list_(pa.int32())), pa.nulls(len(k), pa.int64()))
 
     def batch(key: np.ndarray, kind: int, row: np.ndarray, at: np.ndarray, more: pa.Array, doc: pa.Array) -> pa.RecordBatch:
@@ -168,10 +171,10 @@ def _sorted_runs(source):
 
 
 def _with_equal_neighbour(rows: DataFrame, name: str) -> DataFrame:
-    """(row, doc_id, name): the places of each text whose suffix has an equal neighbour, decided or in the sort of all."""
-    w = Window.partitionBy("suffix", F.col("kind") == _DECIDED).orderBy("kind")
-    sought = rows.select("*", F.lag(F.lit(1)).over(w).alias("before"), F.lead(F.lit(1)).over(w).alias("after"))
-    kept = sought.filter((F.col("kind") == _DECIDED) | (F.col("kind") == _OPEN) & (F.col("before").isNotNull() | F.col("after").isNotNull()))
+    """(row, doc_id, name): the places of each text whose suffix has an equal neighbour of another text, decided or in the sort of all."""
+    w = Window.partitionBy("suffix", F.col("kind") == _DECIDED)
+    others = (F.min("kind").over(w) == _STANDS) | (F.min("row").over(w) != F.max("row").over(w))
+    kept = rows.withColumn("others", others).filter((F.col("kind") == _DECIDED) | (F.col("kind") == _OPEN) & F.col("others"))
     open_places = F.collect_list(F.when(F.col("kind") == _OPEN, F.col("at")))  # null, and so left out, of the others
     places = F.concat(F.flatten(F.collect_list("more")), open_places)
     return kept.groupBy("row").agg(F.max("doc_id").alias("doc_id"), places.alias(name)).filter(F.size(name) > 0)
