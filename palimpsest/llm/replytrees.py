@@ -71,7 +71,7 @@ def messages_of(rows: DataFrame) -> DataFrame:
 
 def ancestors(messages: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
     """(tree, msg, total, n) of each message that is reached from a root, and for k = 0, 1, ... the tables (tree, msg, up): 2**k replies up."""
-    nodes = scratch.stored(messages.select("tree", "msg", "parent", "score"))
+    nodes = messages.select("tree", "msg", "parent", "score")
     ids = nodes.select("tree", F.col("msg").alias("parent"), F.col("msg").alias("up"))
     # left of a parent that is not there: null, a root
     reach = scratch.stored(nodes.join(ids, ["tree", "parent"], "left").select("tree", "msg", "up", F.col("score").alias("total"), F.expr("1L").alias("n")))
@@ -105,7 +105,7 @@ def chosen_paths(messages: DataFrame, best: int, scratch: Scratch) -> DataFrame:
 def format_trees(rows: DataFrame, best: int = BEST) -> DataFrame:
     """(conv_id, branch, n_messages, score, conversation): the `best` branches of each tree, ranked from 1."""
     with Scratch(rows.sparkSession) as scratch:
-        messages = messages_of(rows)
+        messages = scratch.stored(messages_of(rows))  # read by column from here on: texts once, for the chosen paths
         steps = chosen_paths(messages, best, scratch)
         line = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>"))
         told = steps.join(messages.select("tree", "msg", "role", "text"), ["tree", "msg"]).groupBy("tree", "branch", "score", "n").agg(F.array_sort(F.collect_list(F.struct("at", line.alias("said")))).alias("said"))
