@@ -79,10 +79,3 @@ def free_name(taken: list[str], name: str) -> str:
         name += "_"
     return name
 
-
-def cut(df: DataFrame) -> DataFrame:
-    return stored(df)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -309,9 +309,29 @@ def similar(pairs: DataFrame, nodes: DataFrame, base: DataFrame, scratch: Scratc
     return together.mapInArrow(linked(threshold), "node long, to long, links long")
 
 
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): of each run of edges one to every node from the smallest that it is connected to there; the same components with fewer edges."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(2))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = _local_roots(len(nodes), at[: len(a)], at[len(a) :])
+        k = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[root[k]]), pa.array(nodes[k])], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= BATCH_WORDS:
+            yield stars(held)
+            held = []
+    if held:
+        yield stars(held)
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every node but the roots: connected components of (a, b) by alternating large and small stars; root is the smallest node."""
-    edges = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
+    edges = edges.select("a", "b").filter("a <> b").mapInArrow(forest, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
