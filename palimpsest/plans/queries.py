@@ -27,7 +27,7 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _dump_file(spark: SparkSession, d: str, compression: str, where: str = "true") -> str:
-    path = _folder(spark) + ".xml" + {"none": "", "gz": ".gz", "bz2": ".bz2", "xz": ".xz"}[compression]
+    path = _folder(spark) + ".xml" + ("" if compression == "none" else f".{compression}")
     sinks.write_dump(whole_dump(spark, d, where), path, compression)
     return path
 
@@ -230,7 +230,7 @@ def daily_merge(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (ns_filter, last_revision, last_revision_text, cut_meta, cut_meta_all, cut_between, peek_int, page_fields, merge_leftmost, merge_namespace, merge_monotonic, best_reference_strict, pack_table, pack_file, delta_functions, delta_stats, file_names, size_guard, cut_pipeline, daily_merge, suffix_probing, stdin_scan, bz2_random_access, scan_to_any, limited_scan, merge_files, pack_files, quarantine)
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in own}
-    out |= {f"segment_scan_{c}": _scan(c) for c in ("none", "gz", "bz2", "xz")}
+    out |= {f"segment_scan_{c}": _scan(c) for c in ("none", "gz", "bz2", "xz", "lzo")}
     return out | {"best_reference": best_reference_query, "changed_pages": changed, "pack_unpack_roundtrip": pack_unpack, "change_dump": change_dump, "fnv1a": fnv1a_query}
 
 
@@ -312,5 +312,5 @@ SELECT p.page_id, coalesce({_BYTES.format("substr(f.html, 1, pos - 1)")} + {_BYT
 SELECT doc_id, CASE WHEN reach <= 40 THEN reach ELSE least(size, 40) END AS off, coalesce(reach <= 40, false) AS found FROM s""",
         "merge_files": f"""{_DUMP.replace("doc_id = (SELECT min(doc_id) FROM documents)", "doc_id = (SELECT min(doc_id) FROM documents) AND source = 'src7' OR doc_id = (SELECT min(doc_id) FROM documents WHERE source <> 'src7')")} SELECT key, md5(text) AS text_md5 FROM p""",
         "quarantine": f"WITH {_NEW} SELECT key AS ord, true AS src_ok, false AS out_ok, text FROM new WHERE key % 7 = 0",
-        **{f"segment_scan_{c}": _SCAN for c in ("none", "gz", "bz2", "xz")},
+        **{f"segment_scan_{c}": _SCAN for c in ("none", "gz", "bz2", "xz", "lzo")},
     }

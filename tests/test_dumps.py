@@ -18,7 +18,7 @@ from palimpsest.functions import text as tx
 from palimpsest.operators.cut import cut
 from palimpsest.plans import dumps
 from palimpsest.schema import PREAMBLE, TRAILER
-from palimpsest.sources import container, dump, sinks
+from palimpsest.sources import container, dump, lzo, sinks
 
 
 def page(key, ns=0, revisions=("one",), lead="\n  "):
@@ -34,7 +34,7 @@ def read(spark, path, **kw):
     return [(r.key, r.ns, r.text, r.start, r.length) for r in dump.read_dump(spark, str(path), **kw).orderBy("start", "length").collect()]
 
 
-PACK = {"": lambda b: b, ".gz": gzip.compress, ".bz2": lambda b: bz2.compress(b[:3000]) + bz2.compress(b[3000:]), ".xz": lzma.compress}
+PACK = {"": lambda b: b, ".gz": gzip.compress, ".bz2": lambda b: bz2.compress(b[:3000]) + bz2.compress(b[3000:]), ".xz": lzma.compress, ".lzo": lzo.compress}
 
 
 @pytest.mark.parametrize("suffix", PACK)
@@ -76,9 +76,11 @@ def test_bytes_that_are_no_utf8_stay(spark, tmp_path):
 def test_missing_and_unreadable_sources(spark, tmp_path):
     with pytest.raises(dump.SourceError):
         dump.resolve(spark, str(tmp_path / "none.xml"))
-    (tmp_path / "x.xml.lzo").write_bytes(b"")
-    with pytest.raises(dump.SourceError):
-        dump.resolve(spark, str(tmp_path / "x.xml"))
+    (tmp_path / "x.xml.gz").write_bytes(b"")
+    (tmp_path / "x.xml.lzo").write_bytes(b"no lzop file")
+    assert dump.resolve(spark, str(tmp_path / "x.xml")) == str(tmp_path / "x.xml.lzo")  # the first suffix in order
+    with pytest.raises(Exception, match="not an lzop file"):
+        dump.read_dump(spark, str(tmp_path / "x.xml"))
 
 
 def test_http_source(spark, tmp_path):
@@ -162,7 +164,7 @@ def test_names():
     assert names.codec_of("gz") == "" and names.codec_of("a.xz") == "xz"
 
 
-@pytest.mark.parametrize("codec", ["none", "gzip", "bz2", "xz"])
+@pytest.mark.parametrize("codec", ["none", "gzip", "bz2", "xz", "lzo"])
 def test_pack_and_unpack_files(spark, tmp_path, codec):
     old = whole(page(1, revisions=("alpha " * 50,)), page(2), page(4))
     new = whole(page(1, revisions=("alpha " * 50 + "omega",)), page(2), page(3), page(4), tail="\n</mediawiki> new\n")
@@ -256,5 +258,5 @@ def test_command_line(spark, tmp_path, monkeypatch):
     spark.conf.unset("spark.sql.pyspark.udf.profiler")
     with pytest.raises(SystemExit):
         cli.main(["pack", str(tmp_path / "a.xml"), "--zip", "zip"])
-    with pytest.raises(ValueError):
-        cli.main(["pack", str(tmp_path / "a.xml"), str(tmp_path / "b.xml"), "--zip", "lzo"])
+    assert cli.main(["pack", str(tmp_path / "a.xml"), str(tmp_path / "b.xml"), "--zip", "lzo"]) == 0
+    assert cli.main(["unpack", str(tmp_path / "a.xml.pack.lzo"), "--out", str(out)]) == 0 and out.read_text() == a
