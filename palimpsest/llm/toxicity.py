@@ -25,6 +25,7 @@ through `drop_toxic`; very long texts are read whole; empty tables give empty re
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -247,6 +248,16 @@ def document_frequencies(docs: DataFrame, names: np.ndarray) -> tuple[np.ndarray
     return df[:-1].astype(float), int(df[-1])
 
 
+def _in_task(spark: SparkSession, make: Callable[[], object]) -> object:
+    """What make() gives, worked out by a task to spare the driver's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make())] * b.num_rows, pa.binary())], names=["made"])
+
+    return pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "made binary").first()["made"])
+
+
 def choose_terms(spark: SparkSession, ids: np.ndarray, texts: list[str], toxic: np.ndarray, prevalence: float, k: int = K) -> int:
     """The number of terms with the least log loss at the prevalence; each half of the examples, by class, is scored by a model of the other."""
     half = np.zeros(len(ids), int)
@@ -280,16 +291,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: i
         return None
     picked = [r for y in (0, 1) for r in known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()]
     sample = docs.sparkSession.createDataFrame(picked, "id long, y int")  # at most 2 * per_class ids
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "id").toArrow().to_pydict()
-    seen: dict[int, tuple[str, int]] = {}
-    for i, x, y in sorted(zip(rows["id"], rows["text"], rows["y"]), key=lambda r: (r[0], r[1] or "")):
-        seen.setdefault(i, (x or "", y))
-    if len({y for _, y in seen.values()}) < 2:
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
+    rows = found.groupBy("id", "y").agg(F.min("text").alias("text")).toArrow().sort_by("id")  # one text a sampled id, however many rows have it
+    ids, texts, toxic = rows["id"].to_numpy(), rows["text"].to_pylist(), rows["y"].to_numpy()
+    if len(set(toxic.tolist())) < 2:
         return None
-    ids, texts, toxic = np.array(list(seen), np.int64), [x for x, _ in seen.values()], np.array([y for _, y in seen.values()])
     prevalence = shares[1] / sum(shares.values())
     terms = terms or choose_terms(docs.sparkSession, ids, texts, toxic, prevalence, k)
-    return Neighbours(ids, texts, toxic, prevalence, terms, k, lambda names: document_frequencies(docs, names))
+    names = _in_task(docs.sparkSession, lambda: Neighbours(ids, texts, toxic, prevalence, terms, k).names)
+    found = document_frequencies(docs, names)
+    return _in_task(docs.sparkSession, lambda: Neighbours(ids, texts, toxic, prevalence, terms, k, lambda _: found))
 
 
 def _own(column: pa.Array) -> np.ndarray:
