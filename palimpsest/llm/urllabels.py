@@ -88,6 +88,66 @@ hikingclub.org /trails/north-ridge /en/about
 gardeners.net /vegetables/tomatoes.html /news/44
 orchestra.org /season/programme /fr/concerts/12
 astronomy.net /articles/the-outer-planets /de/artikel/77
+www.cam.ac.uk /research/news /study-at-cambridge
+www.ed.ac.uk /history-classics-archaeology /library
+www.princeton.edu /academics/library /news/2020/05/research
+www.berkeley.edu /research/science /
+www.ethz.ch /en/research.html /
+www.sorbonne-universite.fr /en/research /
+www.nationalarchives.gov.uk /education/history /records
+www.bl.uk /collections/maps /events
+www.britishmuseum.org /collection/object/history /visit
+www.sciencemuseum.org.uk /objects-and-stories/medicine /
+www.nhm.ac.uk /discover/dinosaurs.html /
+www.si.edu /museums/natural-history /research
+www.nsf.gov /news/science /funding
+www.energy.gov /science/research /
+www.epa.gov /water/quality /air
+www.nps.gov /yell/planyourvisit/trails.htm /history
+www.weather.gov /forecast/rivers /
+www.census.gov /library/publications /data
+www.bls.gov /news.release/history.htm /
+www.ons.gov.uk /economy/reports /census
+data.worldbank.org /country/portugal /indicator
+www.oecd.org /education/report /
+www.imf.org /en/Publications/research /
+www.ieee.org /publications/journals /conferences
+dl.acm.org /doi/10.1145/3292500 /journals
+link.springer.com /article/10.1007/s00134 /journal/10
+www.sciencedirect.com /science/article/pii/S0092 /journal/cell
+www.jstor.org /stable/2709571 /journal/history
+www.pnas.org /content/117/1/article /
+www.cell.com /journal/article/fulltext /
+www.ncbi.nlm.nih.gov /books/NBK21054/ /pmc/articles/PMC12345/
+www.medlineplus.gov /ency/article/000195.htm /
+www.nhs.uk /conditions/asthma/treatment /medicines
+news.ycombinator.com /item /news
+docs.oracle.com /javase/tutorial/essential/ /
+learn.microsoft.com /en-us/dotnet/csharp/ /docs
+docs.djangoproject.com /en/4.2/topics/db/ /
+numpy.org /doc/stable/reference/ /news
+pandas.pydata.org /docs/user_guide/merging.html /
+readthedocs.org /projects/requests/ /docs
+wiki.archlinux.org /title/Network_configuration /
+wiki.debian.org /DebianInstaller /News
+www.npr.org /sections/science/2021/ /music
+www.pbs.org /wgbh/nova/article/history /newshour
+www.abc.net.au /news/science/2022-01-04/ /
+www.cbc.ca /news/canada/article /radio
+www.dw.com /en/science/s-12526 /de/nachrichten
+www.irishtimes.com /news/ireland/council /culture/books
+www.scotsman.com /arts-and-culture/theatre /news
+www.publiclibrary.org /events/children /catalogue
+www.villageschool.org.uk /curriculum/science /news/letters
+www.towncouncil.gov.uk /meetings/minutes /parks
+www.historymuseum.net /exhibitions/maritime /visit
+www.sciencejournal.net /article/12/ /archive/2019
+www.universitypress.org /books/philosophy /journals
+www.folkmusicsociety.org /archive/songs /about
+www.riverwalks.net /routes/north.html /map
+www.weatherstation.net /readings/today /en/archive/12
+www.localhistory.org.uk /articles/mills.html /members
+www.healthinstitute.org /research/nutrition /news/44
 historians.org /journal/medieval-trade /es/archivo/31
 thornton-museum.org /visit /collection/maps.html
 """
@@ -163,6 +223,66 @@ toolbar-download-free /install.exe /
 psychic-love-spells /free-reading /
 essay-writing-cheap /order/paper /
 mail-order-brides-russia /catalog /
+free-adult-videos /watch/hd /top
+adult-chat-live /rooms/free /join
+hot-girls-cams /live/now /free
+live-sex-shows /watch/free /
+xxx-movies-tube /videos/new /hd
+porn-videos-free /categories /watch
+sexy-singles-dating /signup/free /
+casual-hookup-dating /join/now /local
+online-poker-bonus /play/free /claim
+casino-free-spins /bonus/welcome /slots
+vegas-slots-casino /play/jackpot /
+sports-bets-online /odds/live /bonus
+free-bets-bonus /claim/now /betting
+win-jackpot-slots /spin/free /
+blackjack-casino-live /play/now /
+lottery-winner-claim /prize/claim /win
+buy-viagra-cheap /order/online /pills
+cheap-meds-pharmacy /buy/pills /no-prescription
+online-pills-store /order/now /cheap
+diet-pills-cheap /buy/now /free-trial
+pharmacy-discount-pills /order/cialis /
+fast-weight-loss-pills /order/now /miracle
+cheap-loans-online /apply/fast /approved
+instant-cash-advance /apply/now /
+quick-payday-cash /loan/apply /
+bad-credit-loans-fast /apply/today /
+bitcoin-profit-robot /invest/now /deposit
+crypto-earn-fast /invest/double /join
+easy-money-online /earn/daily /secret
+earn-cash-clicks /join/free /bonus
+cheap-replica-watches /buy/rolex /sale
+fake-rolex-store /cheap/watches /buy
+replica-bags-outlet /buy/cheap /sale
+wholesale-outlet-cheap /buy/nike /discount
+crack-software-free /download/keygen /serial
+free-keygen-download /crack/full /activator
+torrent-movies-free /download/hd /full
+warez-download-full /crack/serial /
+free-download-crack /setup.exe /full
+verify-account-login /secure/update /signin
+secure-bank-verify /login/account /update
+account-login-confirm /verify/password /webscr
+update-billing-verify /account/secure /login
+password-reset-secure /verify/now /login.php
+free-prize-winner /claim/now /survey
+win-gift-card-free /claim/survey /
+click-win-prizes /spin/free /claim
+ads-banner-click /serve/popup /track
+pop-ads-clicks /banner/serve /click
+track-ads-pixel /click/redirect /
+buy-cheap-traffic /order/clicks /seo
+seo-links-cheap /buy/backlinks /order
+spam-links-farm /submit/links /
+buy-instagram-followers /order/likes /cheap
+cheap-followers-likes /buy/now /
+bulk-email-spam /lists/buy /send
+free-virus-scan-now /download.exe /alert
+pc-cleaner-download /free/scan /setup.exe
+miracle-cure-pills /order/now /free
+love-spells-psychic /free/reading /order
 """
 
 

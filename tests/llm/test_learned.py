@@ -252,7 +252,7 @@ def test_url_scores_against_direct_computation(spark, data):
 
 
 def test_urls_held_out():
-    """Sites held out whole, five times; names alone tell, as endings are shared out evenly (0.72 when written)."""
+    """Sites held out whole, five times; names alone tell, as endings are shared out evenly (0.91 when written)."""
     table = urlfilter.LABELLED
     hosts, right = sorted({u.split("/")[2] for u, _ in table}), []
     for seed in range(5):
@@ -262,7 +262,7 @@ def test_urls_held_out():
         z, ok = urlfilter.logits(*urlfilter.train(parts[False]), [u for u, _ in parts[True]])
         assert ok.all()
         right.append(((z > 0) == [y for _, y in parts[True]]).mean())
-    assert np.mean(right) > 0.68
+    assert np.mean(right) > 0.85
     z, _ = urlfilter.logits(*urlfilter.train(table), [u for u, _ in table])
     assert ((z > 0) == [y for _, y in table]).mean() > 0.98
 
