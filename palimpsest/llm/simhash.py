@@ -330,8 +330,15 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) of every node but the roots: connected components of (a, b) by alternating large and small stars; root is the smallest node."""
-    edges = edges.select("a", "b").filter("a <> b").mapInArrow(forest, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    """(node, root) of every node but the roots: connected components of (a, b); root is the smallest node.
+
+    Edges are contracted in their tasks first. If no more than BATCH_WORDS are left, one task contracts them to the
+    end; else large and small stars alternate, round by round.
+    """
+    few = scratch.stored(edges.select("a", "b").filter("a <> b").mapInArrow(forest, "a long, b long"))
+    if few.count() <= BATCH_WORDS:
+        return few.coalesce(1).mapInArrow(forest, "a long, b long").select(F.col("b").alias("node"), F.col("a").alias("root"))
+    edges = few.select(F.col("a").alias("u"), F.col("b").alias("v"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

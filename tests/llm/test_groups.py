@@ -154,13 +154,16 @@ def test_large_word_sets_are_verified_whole(docs_of):
     assert len(want) == 60 and got <= want and len(got) >= 0.9 * len(want)
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("most", [1 << 20, 7])
+def test_components_of_chains(spark, monkeypatch, most):
+    """In one task, and in rounds of stars."""
+    monkeypatch.setattr(simhash, "BATCH_WORDS", most)
     r = random.Random(1)
     edges = [(k, k + 1) for k in range(1, 60)] + [(200, 100), (100, 150)] + [(300 + k, 300) for k in range(1, 30)]
     edges = [(min(e), max(e)) for e in edges]
     r.shuffle(edges)
     with Scratch(spark) as scratch:
-        got = {x.node: x.root for x in simhash.components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+        got = {x.node: x.root for x in simhash.components(spark.createDataFrame(edges, "a long, b long").repartition(5), scratch).collect()}
     assert got == {k: 1 for k in range(2, 61)} | {150: 100, 200: 100} | {k: 300 for k in range(301, 330)}
 
 
